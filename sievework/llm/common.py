@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Python workers handle about so many characters at once, whatever the size of an Arrow batch.
 SLICE_CHARS = 1 << 20
@@ -19,9 +20,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage. The folder is the session's spark.checkpoint.dir; only a session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -48,9 +47,9 @@ def map_text(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list[str |
     fn takes a list of texts (with nulls) and returns one pyarrow array for each column of schema (DDL, without the kept ones).
     """
     kept = [id_col, *keep]
-    frame = df.select(*kept, F.col(text_col).alias("__text"))
+    frame = df.select(*kept, F.col(text_col).alias("__sievework_text"))
     out = frame.select(*kept).schema
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    names = StructType.fromDDL(schema).names
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.fields] + [schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,3 +60,11 @@ def map_text(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list[str |
                 yield pa.RecordBatch.from_arrays([*arrays, *fn(texts[a:b])], names=[*kept, *names])
 
     return frame.mapInArrow(run, ddl)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between steps: the session's spark.checkpoint.dir, or one of its own where that is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
