@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import decontamination, language, lines, media, mixing, quality, secrets, simhash, tokens
+from sievework.llm import decontamination, language, lines, media, mixing, passages, quality, secrets, simhash, tokens
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_telephony_audio": media.op5_telephony_audio,
+    "op6_substring_dedup": passages.op6_substring_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op8_language_id": language.op8_language_id,
     "op9_token_counts": tokens.op9_token_counts,
