@@ -205,7 +205,8 @@ def augmented(rows: DataFrame, key: str = "relpath", size: int = SIZE) -> DataFr
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "state": states, "digest": digests})
 
     picked = rows.where(F.col("pixels").isNotNull()).select("doc_id", F.col(key).alias("path"), "pixels", "background")
-    return picked.mapInPandas(run, "doc_id long, state string, digest string")
+    spread = picked.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)  # a picture costs far more than its move
+    return spread.mapInPandas(run, "doc_id long, state string, digest string")
 
 
 def mask_summary(rows: DataFrame) -> DataFrame:

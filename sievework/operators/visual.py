@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,6 @@ def dct_hash(rasters: DataFrame, pixels: str = "pixels") -> DataFrame:
     Coefficients are listed column frequency first, rounded to six decimals so that noise in the last places of equal
     values doesn't make bits.
     """
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("long")
     def phash(values: pd.Series) -> pd.Series:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,6 @@ PIXELS = visual.SIDE * visual.SIDE
 
 def rasters(spark, sf_dir) -> DataFrame:
     """Documents as grey rasters: the first code points of the text modulo 256, with zeros behind."""
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def grey(texts: pd.Series) -> pd.Series:
@@ -53,7 +53,6 @@ def verified_pairs(spark, sf_dir):
     same = hashed.groupBy("phash", "pixels").agg(F.min("doc_id").alias("id"))
     distinct = same.select("id", F.col("phash").alias("h"), "pixels")
     pairs = edges_among(distinct.select("id", "h"), visual.MAX_BITS).select(F.col("a").alias("l"), F.col("b").alias("r"))
-    import pandas as pd
 
     @F.pandas_udf("array<int>")
     def numbers(values: pd.Series) -> pd.Series:
