@@ -43,7 +43,7 @@ def dct_hash(rasters: DataFrame, pixels: str = "pixels") -> DataFrame:
             low = (waves @ grey @ waves.T).transpose(0, 2, 1).reshape(-1, LOW * LOW)[:, 1:].round(6)
             flags = low > np.median(low, axis=1, keepdims=True)
             out[known] = (flags * (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).sum(axis=1)
-        return pd.Series(out).where(known, None).astype("Int64")
+        return pd.Series(pd.arrays.IntegerArray(out, ~known))
 
     return rasters.withColumn("phash", phash(F.col(pixels)))
 
