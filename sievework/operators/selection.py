@@ -1,4 +1,4 @@
-"""Sampling, quotas, numbering and assignment, as window expressions."""
+"""Sampling, quotas, numbering and assignment."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions import names
+from sievework.operators.iteration import checkpointed
 
 #: Seed, number of transformed samples, share of plain backgrounds and most uses of one.
 SEED = 20260924
@@ -15,10 +16,46 @@ PLAIN_SHARE = 0.15
 MAX_USES = 12
 
 
+#: Groups are dealt to so many tasks before the first cut of a top-k.
+SALTS = 64
+ROW_BITS = 33
+
+
+def number_within(rows: DataFrame, by: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """rows with `name`: 1, 2, ... in each group of `by` (none: over all rows) in the given order, of which ties are broken anyhow.
+
+    A range sort by group and order, and each partition's offset: a group of any size spreads over many tasks, where a
+    window would take it to one. The sorted rows are checkpointed, so that numbers and offsets are of the same sort.
+    """
+    keys = [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order]
+    named = [f"__k{k}" for k in range(len(keys))]
+    keyed = rows.select("*", *[k.alias(n) for k, n in zip(keys, named, strict=True)])
+    dealt = keyed.repartitionByRange(*named).sortWithinPartitions(*named).drop(*named)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    held = checkpointed(dealt.withColumns({"__part": F.spark_partition_id(), "__at": at}))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = held.groupBy("__part").agg(F.count("*").alias("__n"))
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))  # a row for each partition
+    placed = held.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__offset") + 1).drop("__part", "__at", "__offset")
+    if not by:
+        return placed
+    firsts = placed.groupBy(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(by)]).agg(F.min(name).alias("__first"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{k}"))
+    return placed.join(firsts, same).withColumn(name, F.col(name) - F.col("__first") + 1).select(*rows.columns, name)
+
+
 def top_by_hash(rows: DataFrame, quota: Column, by: list[str], key: Column, tie: list[str]) -> DataFrame:
-    """In each group the rows with the smallest keys, as many as the quota says; a filter on a rank, so a group-limit applies."""
-    ranked = rows.withColumn("__rank", F.row_number().over(W.partitionBy(*by).orderBy(key, *tie)))
-    return ranked.where(F.col("__rank") <= quota).drop("__rank")
+    """In each group the rows with the smallest keys, as many as the quota says.
+
+    A first rank in each group's salted parts cuts them down to the quota; what is left is numbered over the group.
+    """
+    salted = rows.withColumns({"__key": key, "__salt": F.pmod(F.xxhash64(key, *tie), F.lit(SALTS))})
+    part = W.partitionBy(*by, "__salt").orderBy("__key", *tie)
+    cut = salted.withColumn("__rank", F.row_number().over(part)).where(F.col("__rank") <= quota).drop("__rank", "__salt")
+    ranked = number_within(cut, by, ["__key", *tie], "__rank")
+    return ranked.where(F.col("__rank") <= quota).select(*rows.columns)
 
 
 def largest_remainder(groups: DataFrame, total: int, name: str = "grp", size: str = "n") -> DataFrame:
@@ -49,8 +86,7 @@ def stratified_sample(rows: DataFrame, total: int, seed: int = SEED, grp: str =
 
 def numbered(rows: DataFrame, excluded: DataFrame, grp: str = "grp", name: str = "name", path: str = "relpath") -> DataFrame:
     """rows not excluded, with their number in the group (from 1) and output file; excluded rows leave gaps."""
-    order = W.partitionBy(grp).orderBy(F.lower(name), name)
-    out = rows.withColumn("number", F.row_number().over(order).cast("long"))
+    out = number_within(rows, [grp], [F.lower(name), name], "number")
     return out.join(excluded.select(F.col("path").alias(path)), path, "left_anti").withColumn("output", F.format_string("%04d.jpg", "number"))
 
 
@@ -72,15 +108,15 @@ def round_robin(slots: DataFrame, backgrounds: DataFrame, seed: int = SEED, shar
     total = slots.groupBy().agg(F.count("*").alias("count"))
     plan = total.crossJoin(sizes).withColumn("plain", plain_split(F.col("count"), F.col("np"), F.col("nt"), share, uses))  # one row each
     key = names.seeded_key(seed, F.lit("slot"), F.col("slot").cast("string"))
-    ranked = slots.withColumn("__rank", F.row_number().over(W.orderBy(key, "slot")).cast("long")).join(F.broadcast(plan), F.lit(True))
+    ranked = number_within(slots, [], [key, "slot"], "__rank").join(F.broadcast(plan), F.lit(True))
     kinds = ranked.withColumn("kind", F.when(F.col("__rank") <= F.col("plain"), "plain").when(F.col("plain").isNotNull(), "textured"))
-    need = F.row_number().over(W.partitionBy("kind").orderBy("slot")) - 1
     m = F.when(F.col("kind") == "plain", F.col("np")).otherwise(F.col("nt"))
-    placed = kinds.withColumn("__i", need.cast("long")).withColumn("cycle", F.floor(F.col("__i") / m).cast("long")).withColumn("place", F.pmod(F.col("__i"), m))
+    needs = number_within(kinds, ["kind"], ["slot"], "__need").withColumn("__i", F.col("__need") - 1)
+    placed = needs.withColumn("cycle", F.floor(F.col("__i") / m).cast("long")).withColumn("place", F.pmod(F.col("__i"), m))
     cycles = placed.groupBy("kind").agg(F.max("cycle").alias("last")).where(F.col("kind").isNotNull())
     turns = cycles.select("kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("cycle"))
-    order = W.partitionBy("kind", "cycle").orderBy(names.seeded_key(seed, F.col("cycle").cast("string"), F.col("path")), "path")
-    dealt = backgrounds.join(turns, "kind").withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+    drawn = names.seeded_key(seed, F.col("cycle").cast("string"), F.col("path"))
+    dealt = number_within(backgrounds.join(F.broadcast(turns), "kind"), ["kind", "cycle"], [drawn, "path"], "__turn").withColumn("place", F.col("__turn") - 1)  # turns: a row for each use of a background
     return placed.join(dealt.select("kind", "cycle", "place", F.col("path").alias("background")), ["kind", "cycle", "place"]).select("slot", "kind", "cycle", "background")
 
 
@@ -89,10 +125,10 @@ def renumbered(files: DataFrame, grp: str = "grp", name: str = "name") -> DataFr
     matched = F.regexp_extract(names.stem(F.col(name)), r"_(\d{3,})$", 1)
     fits = (matched != "") & (names.stem(F.col(name)) == F.concat(F.col(grp), F.lit("_"), matched))
     rows = files.select(grp, name).withColumn("used", F.when(fits, matched.cast("long")))
-    waiting = rows.where(F.col("used").isNull()).withColumn("turn", F.row_number().over(W.partitionBy(grp).orderBy(F.lower(name), name)))
+    waiting = number_within(rows.where(F.col("used").isNull()), [grp], [F.lower(name), name], "turn")
     span = rows.groupBy(grp).agg(F.count("*").alias("n")).select(F.col(grp), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("number"))
     taken = rows.where(F.col("used").isNotNull()).select(grp, F.col("used").alias("number"))
-    free = span.join(taken, [grp, "number"], "left_anti").withColumn("turn", F.row_number().over(W.partitionBy(grp).orderBy("number")))
+    free = number_within(span.join(taken, [grp, "number"], "left_anti"), [grp], ["number"], "turn")
     target = F.concat(F.col(grp), F.lit("_"), F.lpad(F.col("number").cast("string"), F.greatest(F.length(F.col("number").cast("string")), F.lit(3)), F.lit("0")), F.lower(names.suffix(F.col(name))))
     moved = waiting.join(free, [grp, "turn"]).select(grp, name, target.alias("target"))
     return rows.where(F.col("used").isNotNull()).select(grp, name, F.col(name).alias("target")).unionByName(moved)

@@ -139,7 +139,8 @@ def background_renumber(spark, sf_dir):
 
 
 def backgrounds(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "part").where("p_partkey <= 90").select(F.concat(F.lit("bg/"), F.col("p_partkey").cast("string")).alias("path"), F.when(F.col("p_partkey") <= 10, "plain").otherwise("textured").alias("kind"))
+    """Every part as a background; the small ones are plain."""
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("bg/"), F.col("p_partkey").cast("string")).alias("path"), F.when(F.col("p_size") <= 5, "plain").otherwise("textured").alias("kind"))
 
 
 def plain_split(spark, sf_dir):
@@ -150,11 +151,8 @@ def plain_split(spark, sf_dir):
 
 
 def composite_slots(spark, sf_dir) -> DataFrame:
-    """Images numbered over all groups; the number of slots is bounded by what the backgrounds can bear."""
-    from pyspark.sql import Window as W
-
-    rows = images(spark, sf_dir).where("doc_id < 900")
-    return rows.withColumn("slot", F.row_number().over(W.orderBy(F.lower("grp"), F.lower("name"), "name")).cast("long"))
+    """Images numbered over all groups."""
+    return selection.number_within(images(spark, sf_dir), [], [F.lower("grp"), F.lower("name"), "name"], "slot")
 
 
 def balanced_assignment(spark, sf_dir):
@@ -223,8 +221,8 @@ picked AS (SELECT * FROM (SELECT i.*, quota, row_number() OVER (PARTITION BY i.g
 
 EXCLUDED_SQL = """excluded AS (SELECT relpath AS path FROM images WHERE doc_id % 17 = 3 UNION SELECT 'nowhere/a.jpg' UNION SELECT 'nowhere/b.jpg')"""
 NUMBERED_SQL = """ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY lower(name), name) AS number FROM images)"""
-BACKGROUND_SQL = f"""slots AS (SELECT row_number() OVER (ORDER BY lower(grp), lower(name), name) AS slot FROM images WHERE doc_id < 900),
-bg AS (SELECT 'bg/' || p_partkey AS path, CASE WHEN p_partkey <= 10 THEN 'plain' ELSE 'textured' END AS kind FROM part WHERE p_partkey <= 90),
+BACKGROUND_SQL = f"""slots AS (SELECT row_number() OVER (ORDER BY lower(grp), lower(name), name) AS slot FROM images),
+bg AS (SELECT 'bg/' || p_partkey AS path, CASE WHEN p_size <= 5 THEN 'plain' ELSE 'textured' END AS kind FROM part),
 plan AS (SELECT count(*) AS n, (SELECT count(*) FROM bg WHERE kind = 'plain') AS np, (SELECT count(*) FROM bg WHERE kind = 'textured') AS nt FROM slots),
 split AS (SELECT *, greatest(least(round_even(n * 0.15, 0)::BIGINT, np * 12), n - nt * 12) AS plain FROM plan),
 kinds AS (SELECT slot, np, nt, CASE WHEN row_number() OVER (ORDER BY sha256('{SEED}:slot/' || slot), slot) <= plain THEN 'plain' ELSE 'textured' END AS kind FROM slots, split WHERE plain <= np * 12 AND n - plain <= nt * 12),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import augment
 from sievework.plans.assets import images
-from sievework.plans.duplicates import rasters
+from sievework.plans.duplicates import RASTER_SQL, rasters
 from sievework.sources.manifest import IMAGES_SQL
 
 
@@ -27,15 +27,15 @@ def augment_transform(spark, sf_dir):
 
 
 def augment_composite(spark, sf_dir):
-    """Digest of each raster pasted on another document's raster."""
+    """Digest of each raster pasted on the raster of the document before; where there is none, on white."""
     rows = rasters(spark, sf_dir).join(images(spark, sf_dir).select("doc_id", "relpath"), "doc_id")
     scenes = rasters(spark, sf_dir).select((F.col("doc_id") + 1).alias("doc_id"), F.col("pixels").alias("background"))
-    return augment.augmented(rows.join(scenes, "doc_id"))
+    return augment.augmented(rows.join(scenes, "doc_id", "left"))
 
 
 QUERIES = {f.__name__: f for f in (saturation_flood_mask, seeded_params, augment_transform, augment_composite)}
 #: The exterior by recursion: border cells that are open, then their open neighbours.
-MASK_SQL = """WITH RECURSIVE cells AS (SELECT doc_id, i % 32 AS x, i // 32 AS y, CASE WHEN i < length(text) THEN unicode(text[i + 1]) % 256 ELSE 0 END <= 55 AS open FROM (SELECT doc_id, text, unnest(range(1024)) AS i FROM documents WHERE text IS NOT NULL)),
+MASK_SQL = f"""WITH RECURSIVE {RASTER_SQL}, cells AS (SELECT doc_id, x, y, g <= 55 AS open FROM px),
 outer_cells AS (SELECT doc_id, x, y FROM cells WHERE open AND (x IN (0, 31) OR y IN (0, 31))
   UNION SELECT c.doc_id, c.x, c.y FROM outer_cells o, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dx, dy), cells c WHERE c.doc_id = o.doc_id AND c.x = o.x + dx AND c.y = o.y + dy AND c.open)
 SELECT c.doc_id, count(*) FILTER (o.x IS NULL) AS subject, coalesce(min(c.x) FILTER (o.x IS NULL), -1) AS x0, coalesce(min(c.y) FILTER (o.x IS NULL), -1) AS y0,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +16,20 @@ VECTOR_BITS = 18
 PIXELS = visual.SIDE * visual.SIDE
 
 
+def folded(text: str) -> bytes:
+    """A whole text as a raster: byte i is the sum of the code points at places i, i + PIXELS, ... modulo 256."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    whole = np.zeros(max(-(-len(points) // PIXELS), 1) * PIXELS, np.uint32)
+    whole[: len(points)] = points
+    return (whole.reshape(-1, PIXELS).sum(axis=0, dtype=np.uint64) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def rasters(spark, sf_dir) -> DataFrame:
-    """Documents as grey rasters: the first code points of the text modulo 256, with zeros behind."""
+    """Documents as grey rasters, which whole texts are folded into; null for null."""
 
     @F.pandas_udf("binary")
     def grey(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else bytes(ord(c) & 255 for c in t[:PIXELS]).ljust(PIXELS, b"\0"))
+        return texts.map(lambda t: None if t is None else folded(t))
 
     return read(spark, sf_dir, "documents").select("doc_id", grey("text").alias("pixels"))
 
@@ -168,8 +177,13 @@ members AS (SELECT 'P' AS side, id, component FROM comp UNION ALL SELECT 'N', n,
 
 CROSS_SQL = "SELECT x.id AS p, y.id AS n FROM kept x JOIN kept y ON x.side = 'P' AND y.side = 'N' AND bit_count(xor(x.h, y.h)) <= 18"
 MEMBERS_SQL = f"{LED_SQL}, {components_sql(CROSS_SQL)}"
-#: Grey bytes by place, the separable cosine transform as two grouped sums, rounded as the engine does.
-DCT_SQL = """px AS (SELECT doc_id, i // 32 AS y, i % 32 AS x, CASE WHEN i < length(text) THEN unicode(text[i + 1]) % 256 ELSE 0 END AS g FROM (SELECT doc_id, text, unnest(range(1024)) AS i FROM documents WHERE text IS NOT NULL)),
+#: Grey bytes by place: whole texts, folded.
+RASTER_SQL = """chars AS (SELECT doc_id, unnest(range(length(text))) AS i, unnest(string_split(text, '')) AS c FROM documents WHERE text IS NOT NULL),
+sums AS (SELECT doc_id, i % 1024 AS i, sum(unicode(c)) % 256 AS g FROM chars WHERE c IS NOT NULL GROUP BY doc_id, i % 1024),
+px AS (SELECT r.doc_id, r.i // 32 AS y, r.i % 32 AS x, coalesce(g, 0)::INT AS g
+       FROM (SELECT doc_id, unnest(range(1024)) AS i FROM documents WHERE text IS NOT NULL) r LEFT JOIN sums s ON s.doc_id = r.doc_id AND s.i = r.i)"""
+#: Those, the separable cosine transform as two grouped sums, rounded as the engine does.
+DCT_SQL = f"""{RASTER_SQL},
 cs AS (SELECT f, s, cos(pi() * (s + 0.5) * f / 32) AS c FROM range(8) a(f), range(32) b(s)),
 rowc AS (SELECT doc_id, y, f AS fx, sum(g * c) AS v FROM px JOIN cs ON s = x GROUP BY doc_id, y, f),
 coef AS (SELECT doc_id, fx, f AS fy, round(sum(v * c), 6) AS v FROM rowc JOIN cs ON s = y GROUP BY doc_id, fx, f),

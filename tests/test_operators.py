@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -188,3 +189,33 @@ def test_augmented_pictures_repeat():
 def test_resampling_keeps_flat_pictures_flat():
     flat = np.full((10, 14, 3), 77, np.uint8)
     assert (augment.resized(flat, 5, 31) == 77).all() and augment.within(flat, 28, True).shape == (20, 28, 3) and augment.within(flat, 28, False) is flat
+
+
+def test_numbers_within_groups_of_any_size(spark):
+    data = [("hot" if k % 3 else None if k % 2 else f"g{k % 5}", (k * 7919) % 1000, k) for k in range(2000)]
+    rows_in = spark.createDataFrame(data, "grp string, key int, id int").repartition(7)
+    got = {r["id"]: r["n"] for r in selection.number_within(rows_in, ["grp"], ["key", "id"], "n").collect()}
+    seen, want = {}, {}
+    for grp, _, k in sorted(data, key=lambda x: (x[0] or "", x[1], x[2])):
+        seen[grp] = want[k] = seen.get(grp, 0) + 1
+    assert got == want
+    over_all = {r["id"]: r["n"] for r in selection.number_within(rows_in, [], ["key", "id"], "n").collect()}
+    assert over_all == {k: n + 1 for n, (_, _, k) in enumerate(sorted(data, key=lambda x: x[1:]))}
+    assert selection.number_within(rows_in.where("false"), ["grp"], ["key"], "n").count() == 0
+
+
+def test_top_by_hash_takes_the_quota_of_a_hot_group(spark):
+    data = [("hot", k) for k in range(500)] + [("cold", k) for k in range(3)]
+    frame = spark.createDataFrame(data, "grp string, id int")
+    got = selection.top_by_hash(frame, F.lit(40), ["grp"], F.sha2(F.col("id").cast("string"), 256), ["id"])
+    first = sorted(range(500), key=lambda k: hashlib.sha256(str(k).encode()).hexdigest())[:40]
+    assert got.columns == ["grp", "id"]
+    assert sorted((r["grp"], r["id"]) for r in got.collect()) == sorted([("hot", k) for k in first] + [("cold", k) for k in range(3)])
+
+
+def test_rasters_hold_whole_texts():
+    from sievework.plans.duplicates import PIXELS, folded
+
+    assert folded("") == bytes(PIXELS)
+    text = "añ€😀" * 700
+    assert list(folded(text)) == [sum(map(ord, text[k::PIXELS])) % 256 for k in range(PIXELS)]
