@@ -392,3 +392,17 @@ def test_shared_passages_are_linked(spark):
 def test_every_operator_is_registered():
     assert {int(re.match(r"op(\d+)_", name)[1]) for name in registry.QUERIES} == set(range(1, 11))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "mixing"]
+
+
+def test_passages_link_texts_whose_first_of_a_value_has_another_passage(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    common_line = words(12)
+    passages_of = [words(30) + common_line + words(30) for _ in range(6)]
+    texts = [" ".join(words(20) + common_line + words(40)) for _ in range(3)]
+    texts += [" ".join(words(15) + p + words(25)) for p in passages_of for _ in range(2)]
+    got = {r["doc_id"]: r["component_id"] for r in passages.passage_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: k if k < 3 else 3 + (k - 3) // 2 * 2 for k in range(len(texts))}
