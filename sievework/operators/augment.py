@@ -154,6 +154,17 @@ def cutout(rgb: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.dstack([rgb, mask])[box(mask)]
 
 
+def as_rgb(data: bytes, shape) -> np.ndarray:
+    """A raster of (height, width, channels) bytes; grey becomes RGB."""
+    picture = np.frombuffer(data, np.uint8).reshape(tuple(shape))
+    return np.repeat(picture, 3, axis=2) if picture.shape[2] == 1 else picture
+
+
+def mask_for(kind: str, rgb: np.ndarray) -> np.ndarray:
+    """The mask that transform() (of the smoothed picture) or composite() uses where none is given."""
+    return subject_mask(sliding(rgb, 3, np.median) if kind == "transform" else rgb)
+
+
 def transform(rgb: np.ndarray, rng: random.Random, mask: np.ndarray | None = None, size: int = SIZE) -> np.ndarray:
     """The subject, smoothed, turned and scaled, on white. Draws: angle, scale, x, y."""
     rgb = sliding(rgb, 3, np.median)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import names
-from sievework.operators import augment, selection, visual
+from sievework.operators import augment, mask_cache, selection, visual
 from sievework.operators.iteration import checkpointed
 from sievework.sources import manifest, sinks
 
@@ -152,11 +152,12 @@ def combine(spark: SparkSession, root: str, sources: dict[str, str], outputs: di
     return plan
 
 
-def augment_tree(spark: SparkSession, root: str, transforms: str, composites: str, backgrounds: str, output: str, exclusions: str | None = None, plain: str = "plain", total: int = selection.TRANSFORM_COUNT, size: int = augment.SIZE) -> DataFrame:
+def augment_tree(spark: SparkSession, root: str, transforms: str, composites: str, backgrounds: str, output: str, exclusions: str | None = None, plain: str = "plain", total: int = selection.TRANSFORM_COUNT, size: int = augment.SIZE, cache: str | None = None) -> DataFrame:
     """Augments a stratified sample of `transforms` and all of `composites`, each on a background, into output/kind_group.
 
     The four folders hold groups and lie below root. Returns kind, grp, path, number, output and background. Excluded
     pictures leave gaps in the numbers and keep their backgrounds. Files are named `0001.jpg` and so on and hold PNG.
+    With a cache folder, masks of unchanged pictures come from there, and new ones are added.
     ValueError: an empty tree, unknown exclusions, too few backgrounds, foreign content, or a picture without a subject.
     """
 
@@ -191,26 +192,32 @@ def augment_tree(spark: SparkSession, root: str, transforms: str, composites: st
     scenes = pictures.select(F.col("path").alias("background"), F.col("shape").alias("scene_shape"), F.col("picture").alias("scene"))
     held = jobs.join(pictures, "path", "left").join(scenes, "background", "left")
 
-    def rgb(data: bytes, shape) -> np.ndarray:
-        picture = np.frombuffer(data, np.uint8).reshape(tuple(shape))
-        return np.repeat(picture, 3, axis=2) if picture.shape[2] == 1 else picture
+    if cache is None:
+        held = held.withColumn("mask", F.lit(None).cast("binary"))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        signed = files.select(local(F.col("path")).alias("path"), mask_cache.signature(F.col("length"), F.col("modificationTime")).alias("signature"))
+        subjects = jobs.join(pictures, "path").join(signed, "path").select("kind", "relpath", "signature", "shape", "picture")
+        held = held.join(mask_cache.subject_masks(subjects, cache), ["kind", "relpath"], "left")
 
     def run(batches):
         for pdf in batches:
             contents = []
-            for kind, rel, shape, picture, scene_shape, scene in zip(*[pdf[c] for c in ("kind", "relpath", "shape", "picture", "scene_shape", "scene")], strict=True):
+            for kind, rel, shape, picture, scene_shape, scene, found in zip(*[pdf[c] for c in ("kind", "relpath", "shape", "picture", "scene_shape", "scene", "mask")], strict=True):
                 try:
                     rng = augment.generator(rel)
                     if picture is None or (kind == "composite" and scene is None):
                         contents.append(None)
                     else:
-                        made = augment.transform(rgb(picture, shape), rng, size=size) if kind == "transform" else augment.composite(rgb(picture, shape), rgb(scene, scene_shape), rng, size=size)
+                        subject = augment.as_rgb(picture, shape)
+                        mask = None if found is None else np.frombuffer(found, np.uint8).reshape(subject.shape[:2])
+                        made = augment.transform(subject, rng, mask, size) if kind == "transform" else augment.composite(subject, augment.as_rgb(scene, scene_shape), rng, mask, size)
                         contents.append(sinks.png(np.ascontiguousarray(made)))
                 except ValueError:  # no subject
                     contents.append(None)
             yield pd.DataFrame({"kind": pdf["kind"], "grp": pdf["grp"], "relpath": pdf["relpath"], "output": pdf["output"], "content": contents})
 
-    made = checkpointed(held.select("kind", "grp", "relpath", "output", "shape", "picture", "scene_shape", "scene").repartition(F.col("relpath")).mapInPandas(run, "kind string, grp string, relpath string, output string, content binary"))
+    made = checkpointed(held.select("kind", "grp", "relpath", "output", "shape", "picture", "scene_shape", "scene", "mask").repartition(F.col("relpath")).mapInPandas(run, "kind string, grp string, relpath string, output string, content binary"))
     bad = [r["relpath"] for r in made.where("content IS NULL").select("relpath").limit(1).collect()]
     if bad:
         raise ValueError(f"no subject: {bad[0]}")

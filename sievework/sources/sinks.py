@@ -9,6 +9,7 @@ import tempfile
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,20 +102,85 @@ def png(picture: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+#: EXIF's tag of the orientation, and for each orientation the turn that makes a picture upright.
+ORIENTATION_TAG = 0x0112
+UPRIGHT = {
+    1: lambda p: p,
+    2: lambda p: p[:, ::-1],
+    3: lambda p: p[::-1, ::-1],
+    4: lambda p: p[::-1],
+    5: lambda p: p.swapaxes(0, 1),
+    6: lambda p: p[::-1].swapaxes(0, 1),
+    7: lambda p: p[::-1, ::-1].swapaxes(0, 1),
+    8: lambda p: p[:, ::-1].swapaxes(0, 1),
+}
+
+
+def exif_block(content: bytes) -> bytes:
+    """The TIFF structure with a JPEG's or PNG's EXIF fields; empty if there is none."""
+    if content[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] not in (0xD9, 0xDA):
+            (size,) = struct.unpack_from(">H", content, at + 2)
+            if content[at + 1] == 0xE1 and content[at + 4 : at + 10] == b"Exif\0\0":
+                return content[at + 10 : at + 2 + size]
+            at += 2 + size
+    elif content[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 8 <= len(content):
+            (size,) = struct.unpack_from(">I", content, at)
+            if content[at + 4 : at + 8] == b"eXIf":
+                return content[at + 8 : at + 8 + size]
+            at += 12 + size
+    return b""
+
+
+def orientation(content: bytes) -> int:
+    """The EXIF orientation of a picture file, 1 to 8; 1 where it isn't told or makes no sense."""
+    block = exif_block(content)
+    order = {b"II": "<", b"MM": ">"}.get(block[:2])
+    try:
+        if order is None or struct.unpack_from(order + "H", block, 2)[0] != 42:
+            return 1
+        (at,) = struct.unpack_from(order + "I", block, 4)
+        for k in range(struct.unpack_from(order + "H", block, at)[0]):
+            tag, kind, count, value = struct.unpack_from(order + "HHIH", block, at + 2 + 12 * k)
+            if (tag, kind, count) == (ORIENTATION_TAG, 3, 1):
+                return value if value in UPRIGHT else 1
+    except struct.error:  # cut short
+        pass
+    return 1
+
+
+def turned_files(spark, root: str) -> DataFrame:
+    """place (the path without its scheme) and orientation of the files below root that don't stand upright."""
+
+    def run(batches):
+        for pdf in batches:
+            found = pdf[["place"]].assign(orientation=[orientation(bytes(c)) for c in pdf["content"]])
+            yield found[found["orientation"] != 1]
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("place"), "content").mapInPandas(run, "place string, orientation int")
+
+
 def read_pictures(spark, root: str) -> DataFrame:
     """path, width, height, channels and data (RGB or grey, row by row) of the pictures below root; undecodable ones are dropped.
 
-    Decoding is Spark's own (JPEG, PNG, GIF, BMP); its BGR order is turned in Arrow batches.
+    Decoding is Spark's own (JPEG, PNG, GIF, BMP); its BGR order is turned in Arrow batches, and pictures are made upright
+    by their EXIF orientation.
     """
 
     def run(batches):
         for pdf in batches:
-            turned = []
-            for data, channels in zip(pdf["data"], pdf["channels"], strict=True):
-                pixels = np.frombuffer(data, np.uint8).reshape(-1, channels)
-                turned.append(pixels.tobytes() if channels == 1 else np.ascontiguousarray(pixels[:, 2::-1]).tobytes())
-            yield pdf.assign(data=turned, channels=pdf["channels"].clip(upper=3))
+            out = []
+            for r in pdf.itertuples(index=False):
+                picture = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
+                picture = UPRIGHT[r.orientation](picture if r.channels == 1 else picture[..., 2::-1])
+                out.append((r.path, picture.shape[1], picture.shape[0], picture.shape[2], picture.tobytes()))
+            yield pd.DataFrame(out, columns=["path", "width", "height", "channels", "data"])
 
     found = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
     flat = found.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    return flat.mapInPandas(run, flat.schema)
+    placed = flat.withColumn("place", F.regexp_replace("path", "^file:/+", "/")).join(turned_files(spark, root), "place", "left")
+    return placed.select(*flat.columns, F.coalesce("orientation", F.lit(1)).alias("orientation")).mapInPandas(run, flat.schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pytest
 
@@ -46,3 +49,29 @@ def test_pictures_round_trip(spark, tmp_path):
     rows = sinks.read_pictures(spark, str(tmp_path)).collect()
     assert len(rows) == 1 and (rows[0]["width"], rows[0]["height"]) == (7, 5)
     assert bytes(rows[0]["data"]) == picture.tobytes()
+
+
+def with_orientation(file: bytes, value: int, order: str) -> bytes:
+    block = (b"II" if order == "<" else b"MM") + struct.pack(order + "HIHHHIHHI", 42, 8, 1, 0x0112, 3, 1, value, 0, 0)
+    chunk = b"eXIf" + block
+    return file[:33] + struct.pack(">I", len(block)) + chunk + struct.pack(">I", zlib.crc32(chunk)) + file[33:]
+
+
+def test_pictures_are_made_upright(spark, tmp_path):
+    picture = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
+    for k in range(10):
+        (tmp_path / f"{k}.png").write_bytes(with_orientation(sinks.png(picture), k, "<>"[k % 2]))
+    rows = {int(r["path"][-5]): np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3) for r in sinks.read_pictures(spark, str(tmp_path)).collect()}
+    quarter = np.rot90(picture, -1)
+    upright = {2: np.fliplr(picture), 3: np.rot90(picture, 2), 4: np.flipud(picture), 5: np.fliplr(quarter), 6: quarter, 7: np.flipud(quarter), 8: np.rot90(picture, 1)}
+    assert len(rows) == 10
+    for k, found in rows.items():
+        assert np.array_equal(found, upright.get(k, picture)), k
+
+
+def test_orientation_of_a_jpeg_and_of_broken_fields():
+    block = b"Exif\0\0MM" + struct.pack(">HIHHHIHHI", 42, 8, 1, 0x0112, 3, 1, 6, 0, 0)
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab\xff\xe1" + struct.pack(">H", len(block) + 2) + block + b"\xff\xda"
+    assert sinks.orientation(jpeg) == 6
+    assert [sinks.orientation(jpeg[:k]) for k in (0, 2, 5, 14, 20, 28)] == [1] * 6
+    assert sinks.orientation(b"GIF89a") == 1

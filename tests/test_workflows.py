@@ -89,8 +89,8 @@ def test_augment_tree(spark, tmp_path):
         put(root / "b" / "wood", f"w{k}.png", scene(30 + k, 60, 60))
     (tmp_path / "skip.txt").write_text("# list\nc\\g\\c1.png\n", encoding="utf-8")
 
-    def go(output):
-        return workflows.augment_tree(spark, str(root), str(root / "t"), str(root / "c"), str(root / "b"), str(output), str(tmp_path / "skip.txt"), size=48).collect()
+    def go(output, **options):
+        return workflows.augment_tree(spark, str(root), str(root / "t"), str(root / "c"), str(root / "b"), str(output), str(tmp_path / "skip.txt"), size=48, **options).collect()
 
     jobs = go(tmp_path / "out")
     assert sorted((r["kind"], r["output"], r["background"] is None) for r in jobs) == [("composite", "0001.jpg", False), ("composite", "0003.jpg", False)] + [("transform", f"000{k}.jpg", True) for k in (1, 2, 3)]
@@ -99,6 +99,15 @@ def test_augment_tree(spark, tmp_path):
     (tmp_path / "out" / "composite_g" / "0002.jpg").write_bytes(b"stale")
     go(tmp_path / "out")
     assert {p.relative_to(tmp_path / "out"): p.read_bytes() for p in (tmp_path / "out").rglob("*.jpg")} == first
+    # masks are kept: five at first, and one more for a picture that changed
+    kept = str(tmp_path / "masks")
+    for _ in range(2):
+        go(tmp_path / "cached", cache=kept)
+        assert {p.relative_to(tmp_path / "cached"): p.read_bytes() for p in (tmp_path / "cached").rglob("*.jpg")} == first
+        assert spark.read.parquet(kept).count() == 5
+    put(root / "c" / "g", "c0.png", subject(14)[:, 5:])
+    go(tmp_path / "cached", cache=kept)
+    assert spark.read.parquet(kept).count() == 6
     (tmp_path / "skip.txt").write_text("t/g/none.png\n")
     with pytest.raises(ValueError, match="none.png"):
         go(tmp_path / "other")
