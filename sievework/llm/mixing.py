@@ -71,7 +71,7 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, cap: float = 2
     once and again until its target is reached (cap at most 2): the one at the end is taken in part. position and
     second_position (0 to 1, null: not taken) are the training times of a document's first and second taking. Null is a
     source of its own, the last by name; sources without words get a target of zero; an empty table gives none. Repeated
-    rows are taken each. Rows come range-sorted by position.
+    rows are taken each. Rows come range-sorted by position, then id.
     """
     rows = common.checkpointed(
         docs.select(
@@ -117,8 +117,8 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, cap: float = 2
             time(0).alias("position"),
             time(1).alias("second_position"),
         )
-        .repartitionByRange("position")
-        .sortWithinPartitions("position")
+        .repartitionByRange("position", id_col)  # by id as well, so that documents without a position spread over ranges
+        .sortWithinPartitions("position", id_col)
     )
 
 
