@@ -406,3 +406,27 @@ def test_passages_link_texts_whose_first_of_a_value_has_another_passage(spark):
     texts += [" ".join(words(15) + p + words(25)) for p in passages_of for _ in range(2)]
     got = {r["doc_id"]: r["component_id"] for r in passages.passage_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {k: k if k < 3 else 3 + (k - 3) // 2 * 2 for k in range(len(texts))}
+
+
+def test_no_verbatim_passage_is_lost(spark):
+    """Texts of few blocks around common ones: most values' firsts hold other passages than the texts linked to them."""
+    rng = random.Random(11)
+    blocks = [[f"b{k}w{i}" for i in range(rng.randint(8, 30))] for k in range(9)]
+    common_block = [f"c{i}" for i in range(24)]
+    texts = []
+    for k in range(60):
+        own = [f"t{k}x{i}" for i in range(rng.randint(5, 40))]
+        texts.append(" ".join(own + rng.choice(blocks) + common_block + rng.choice(blocks) + own[::-1]))
+    runs: dict = {}
+    for k, text in enumerate(texts):
+        words = text.split()
+        for i in range(len(words) - passages.LEAST_WORDS + 1):
+            runs.setdefault(tuple(words[i : i + passages.LEAST_WORDS]), set()).add(k)
+    wanted = {(min(group), k) for group in runs.values() for k in group}
+    assert sum(a != b for a, b in wanted) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = {r["doc_id"]: r["component_id"] for r in passages.passage_classes(docs).collect()}
+    assert all(classes[a] == classes[b] for a, b in wanted)
+    # already by the first function
+    classes = {r["doc_id"]: r["component_id"] for r in passages.passage_classes(docs, hashes=1).collect()}
+    assert all(classes[a] == classes[b] for a, b in wanted)
