@@ -27,3 +27,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = common.checkpointed(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+
+
+def pairs_apart(groups: DataFrame, keys: list[str], roots: DataFrame) -> DataFrame:
+    """(a, b), a > b: the pairs of nodes of a group (keys, node) that lie in different components of roots (node, root)."""
+    named = roots.select(F.col("node").alias("__n"), "root")
+    rooted = groups.select(*keys, "node").join(named, F.col("node") == F.col("__n"), "left").select(*keys, "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy(*keys).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*keys)
+    some = common.checkpointed(rooted.join(mixed, keys, "left_semi").distinct())
+    other = some.select(*keys, F.col("node").alias("node_2"), F.col("root").alias("root_2"))
+    pairs = some.join(other, keys).where("root < root_2")
+    return pairs.select(F.greatest("node", "node_2").alias("a"), F.least("node", "node_2").alias("b")).distinct()

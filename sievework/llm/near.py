@@ -1,0 +1,104 @@
+"""Near duplicates by Jaccard similarity of five-word shingles: MinHash bands for candidates, verified on the shingles.
+
+Texts of a bucket (equal values in one band) are linked to the first of it where they pass the test. As the first may
+fail where others of the bucket match, all pairs of a bucket that lie in different components then are tested too: of
+the pairs that share a bucket none is left out, and a bucket of copies of each other costs no more than its rows.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievework.llm import common
+from sievework.llm.components import connected_components, pairs_apart
+from sievework.llm.passages import mix64, tokens
+
+SIMILARITY = 0.8
+#: A pair of similarity s shares no bucket with a probability of (1 - s ** ROWS) ** BANDS: 1.3e-7 at 0.8.
+BANDS, ROWS = 40, 5
+SALTS = mix64(np.arange(BANDS * ROWS, dtype=np.uint64), 7)
+FACTORS = mix64(np.arange(BANDS * ROWS, dtype=np.uint64), 8) | np.uint64(1)
+SHINGLES_AT_ONCE = 1 << 12
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct shingle hashes, sorted; of a text of fewer than five words all of it is one; none without words."""
+    found = np.unique(tokens(text or ""))
+    if len(found):
+        return found
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    return np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64)
+
+
+def buckets(found: np.ndarray) -> np.ndarray:
+    """A key for each band."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    with np.errstate(over="ignore"):
+        for k in range(0, len(found), SHINGLES_AT_ONCE):
+            mixed = (found[k : k + SHINGLES_AT_ONCE] ^ SALTS[:, None]) * FACTORS[:, None]
+            least = np.minimum(least, mixed.min(axis=1))
+        keys = np.arange(BANDS, dtype=np.uint64)
+        for column in least.reshape(BANDS, ROWS).T:
+            keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) ^ column, 9)
+    return keys.view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of sorted distinct shingles; 1 for two texts without words."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            kept, held = [], (None, None)
+            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                a = a.as_py()
+                if held[0] != a:
+                    held = a, shingles(a)
+                if similarity(held[1], shingles(b.as_py())) >= least:
+                    kept.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept, pa.int64())) for k in range(2)], names=["a", "b"])
+
+    one, other = bodies.select(F.col("node").alias("a"), F.col("body").alias("a_body")), bodies.select(F.col("node").alias("b"), F.col("body").alias("b_body"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "a_body", "b_body").mapInArrow(run, "a long, b long")
+
+
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """id and component_id: the least id of the documents reachable over pairs of at least that similarity.
+
+    Texts without words, empty and null ones are one component. Every row is kept; null ids don't name a component that
+    has another id.
+    """
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.select(F.col(id_col), F.xxhash64(body).alias("node"), body.alias("body"))
+    bodies = named.select("node", "body").dropDuplicates(["node"])
+
+    def run(texts):
+        keys = [buckets(shingles(t)) for t in texts]
+        ends = np.arange(len(keys) + 1, dtype=np.int32) * BANDS
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))]
+
+    placed = common.checkpointed(common.map_text(bodies, "node", "body", run, "keys array<bigint>").select("node", F.explode("keys").alias("key")))
+    firsts = placed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most")
+    stars = placed.join(firsts.select("key", "b"), "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    linked = common.checkpointed(verified(stars, bodies, least))
+    roots = connected_components(linked)
+    more = verified(pairs_apart(placed, ["key"], roots), bodies, least)
+    roots = connected_components(linked.unionByName(more))
+    rooted = named.select(id_col, "node").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select(id_col, F.coalesce("root", "node").alias("root"))
+    least_ids = rooted.groupBy("root").agg(F.min(id_col).alias("component_id"))
+    return rooted.join(least_ids, "root").select(id_col, "component_id")
+
+
+def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents that aren't the first of their component; columns as before."""
+    kept = cluster(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")

@@ -430,3 +430,25 @@ def test_no_verbatim_passage_is_lost(spark):
     # already by the first function
     classes = {r["doc_id"]: r["component_id"] for r in passages.passage_classes(docs, hashes=1).collect()}
     assert all(classes[a] == classes[b] for a, b in wanted)
+
+
+def test_pipeline_near_dedup_takes_near_copies(spark, tmp_path):
+    """One changed word in 80 is far over two bits of a fingerprint; the star's centre isn't the first of its buckets."""
+    rng = random.Random(21)
+    words = [[f"n{k}w{i}" for i in range(100)] for k in range(5)]
+    texts = []
+    for own in words:
+        variants = [" ".join(own)] + [" ".join("x" * (k + 1) if i == 7 + 14 * k else w for i, w in enumerate(own)) for k in range(6)]
+        rng.shuffle(variants)
+        texts += variants
+    texts += [text(rng, 100) for _ in range(10)] + ["", " ", "two words", "Two  WORDS"]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t), "x", 1) for k, t in enumerate(texts)], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, str(tmp_path)).collect()}
+    sets = [frozenset(zip(*[t.lower().split()[i:] for i in range(5)], strict=False)) or frozenset([tuple(t.lower().split())]) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert kept == {k for k, r in enumerate(root) if k == r}
