@@ -56,18 +56,23 @@ def hamming_pairs(spark, sf_dir):
     return edges_among(vectors(spark, sf_dir), VECTOR_BITS)
 
 
+def numbered_pixels(rows: DataFrame) -> DataFrame:
+    """id and pixels, as numbers."""
+
+    @F.pandas_udf("array<int>")
+    def numbers(values: pd.Series) -> pd.Series:
+        return values.map(list)
+
+    return rows.select("id", numbers("pixels").alias("pixels"))
+
+
 def verified_pairs(spark, sf_dir):
     """Pairs of rasters that pass both tests. Equal rasters are paired with the first of them only."""
     hashed = visual.dct_hash(rasters(spark, sf_dir)).where("phash IS NOT NULL")
     same = hashed.groupBy("phash", "pixels").agg(F.min("doc_id").alias("id"))
     distinct = same.select("id", F.col("phash").alias("h"), "pixels")
     pairs = edges_among(distinct.select("id", "h"), visual.MAX_BITS).select(F.col("a").alias("l"), F.col("b").alias("r"))
-
-    @F.pandas_udf("array<int>")
-    def numbers(values: pd.Series) -> pd.Series:
-        return values.map(list)
-
-    return visual.verified_pairs(pairs, distinct.select("id", numbers("pixels").alias("pixels")))
+    return visual.verified_pairs(pairs, numbered_pixels(distinct))
 
 
 def led(spark, sf_dir) -> DataFrame:
@@ -125,22 +130,26 @@ def removal_summary(spark, sf_dir):
 def curation_pipeline(spark, sf_dir):
     """All steps over documents: scan, hash, leaders in each class, conflicts between classes (N goes), actions.
 
-    Class by label (unlabelled: P); rank by id. Rasters that are equal share a hash, so equal documents of a class meet.
+    Class by label (unlabelled: P); rank by id. Pairs match by hash and by pixels; equal rasters of a class are one.
+    The SQL oracle leaves out the test of pixels.
     """
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     scanned = images(spark, sf_dir).join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), "grp", F.when(F.col("quality") == 0, "N").otherwise("P").alias("side"))
-    hashed = visual.dct_hash(rasters(spark, sf_dir)).where("phash IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("phash").alias("h"))
+    hashed = visual.dct_hash(rasters(spark, sf_dir)).where("phash IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("phash").alias("h"), "pixels")
     rows = visual.checkpointed(scanned.join(hashed, "id"))
-    distinct = rows.groupBy("side", "h").agg(F.min("id").alias("id"))  # equal hashes: one cluster, led by the first
+    distinct = visual.checkpointed(rows.groupBy("side", "h", "pixels").agg(F.min("id").alias("id")))  # equal rasters: one cluster, led by the first
+    pixels = numbered_pixels(distinct)
     edges = edges_among(distinct, visual.MAX_BITS)
     sides = distinct.select("id", "side")
     within = edges.join(sides.withColumnsRenamed({"id": "a", "side": "sa"}), "a").join(sides.withColumnsRenamed({"id": "b", "side": "sb"}), "b").where("sa = sb")
-    groups = visual.checkpointed(distinct.join(visual.leaders(distinct, within), "id"))
+    same = visual.verified_pairs(within.select(F.col("a").alias("l"), F.col("b").alias("r")), pixels).select(F.col("l").alias("a"), F.col("r").alias("b"))
+    groups = visual.checkpointed(distinct.join(visual.leaders(distinct, same), "id"))
     kept = groups.where("id = leader")
-    pairs = visual.hamming_join(kept.where("side = 'P'"), kept.where("side = 'N'"), visual.MAX_BITS).select(F.col("l").alias("p"), F.col("r").alias("n"))
+    near = visual.hamming_join(kept.where("side = 'P'"), kept.where("side = 'N'"), visual.MAX_BITS)
+    pairs = visual.checkpointed(visual.verified_pairs(near, pixels).select(F.col("l").alias("p"), F.col("r").alias("n")))
     members = visual.resolve(visual.cross_components(pairs), pairs.select(F.col("p").alias("component")).where("false").withColumn("choice", F.lit("N")), "N")
     lost = members.where("action = 'delete'").select(F.col("id").alias("leader"), F.lit("cross").alias("why"))
-    named = rows.join(groups.select("side", "h", "leader"), ["side", "h"]).join(lost, "leader", "left")
+    named = rows.join(groups.select("side", "h", "pixels", "leader"), ["side", "h", "pixels"]).join(lost, "leader", "left")
     action = F.when(F.col("id") != F.col("leader"), "drop_internal").when(F.col("why").isNotNull(), "drop_cross").otherwise("keep")
     return named.select(F.col("id").alias("doc_id"), "grp", "side", "leader", action.alias("action"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import geometry, names
 from sievework.operators import augment, selection, visual
+from sievework.plans import duplicates
 from sievework.sources import manifest
 
 
@@ -219,3 +220,15 @@ def test_rasters_hold_whole_texts():
     assert folded("") == bytes(PIXELS)
     text = "añ€😀" * 700
     assert list(folded(text)) == [sum(map(ord, text[k::PIXELS])) % 256 for k in range(PIXELS)]
+
+
+def test_curation_needs_equal_pixels_too(spark, tmp_path):
+    """A raster and its copy 80 grey levels brighter have one hash; only the copy by pixels goes."""
+    rng = np.random.default_rng(31)
+    dark = rng.integers(32, 120, 1024)
+    texts = ["".join(map(chr, dark)), "".join(map(chr, dark + 80)), "".join(map(chr, dark + 1)), "".join(map(chr, dark + 80)), "".join(map(chr, dark))]
+    docs = [(4 * k + 1, t, "en", "a", len(t)) for k, t in enumerate(texts)]  # such ids have the names of pictures
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(13, 0, 0), (17, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: (r["leader"], r["action"]) for r in duplicates.curation_pipeline(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, "keep"), 5: (5, "keep"), 9: (1, "drop_internal"), 13: (13, "drop_cross"), 17: (17, "drop_cross")}
