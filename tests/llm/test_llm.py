@@ -452,3 +452,20 @@ def test_pipeline_near_dedup_takes_near_copies(spark, tmp_path):
                 low, high = sorted((root[a], root[b]))
                 root = [low if r == high else r for r in root]
     assert kept == {k for k, r in enumerate(root) if k == r}
+
+
+@pytest.mark.parametrize("seed", [1483, 6422, 8375, 14599, 15224])
+def test_near_passages_share_a_window_under_some_function(seed):
+    """Pairs that three hash functions lose: 50 words but for one."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared = [word() for _ in range(50)]
+    other = list(shared)
+    other[rng.randrange(50)] = word()
+    sides = [" ".join([word() for _ in range(rng.randint(20, 60))] + s + [word() for _ in range(rng.randint(20, 60))]) for s in (shared, other)]
+
+    def values(side, h):
+        mixed = passages.mix64(passages.tokens(side), 2 + h)
+        return {int(mixed[c]) for _, c, _ in passages.compact_windows(mixed, passages.LENGTH)}
+
+    assert any(values(sides[0], h) & values(sides[1], h) for h in range(passages.HASHES))
