@@ -111,12 +111,12 @@ class Matcher:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS):
-    """Lists of (id, normalised text), about block_chars characters each; null and wordless items are left out."""
+    """Lists of (id, normalised text), about block_chars characters each; null and wordless texts are left out, null ids aren't."""
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), normalized(F.col(text_col)).alias("t"))
     blocks = -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars)
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield sorted((r["k"], r["t"]) for r in rows.where(F.col("k").isNotNull()).collect())
+        yield sorted(((r["k"], r["t"]) for r in rows.where("t <> ''").collect()), key=lambda x: (x[0] is None, *x[x[0] is None :]))
 
 
 def match_block(docs: DataFrame, items: list[tuple], kind: str, id_col: str, text_col: str, keep: tuple[str, ...], rate: float, name: str = "matches") -> DataFrame:

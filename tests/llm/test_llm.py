@@ -487,3 +487,15 @@ def test_near_copies_are_linked_though_firsts_of_groups_fail(spark):
         texts.append(" ".join(words(20) + own + words(20)))
     got = {r["doc_id"]: r["component_id"] for r in passages.passage_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == dict.fromkeys(range(41), 0)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_items_without_an_id_are_found(spark, kind):
+    item, other = "what holds the bridge over the river in winter", "a second item that has an id of its own"
+    items = spark.createDataFrame([(None, item), (None, "another text without any id"), (1, other), (2, None), (None, "?!")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"first {item} last"), (2, f"see {other} here"), (3, "nothing of it")], "doc_id long, text string")
+    items = items.withColumn("item_id", F.col("item_id").cast(kind))
+    found = decontamination.find_contamination(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, None), (2, 1 if kind == "long" else "1")]
+    if kind == "long":
+        assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, items).collect()] == [3]
