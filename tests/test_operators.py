@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import geometry, names
 from sievework.operators import augment, selection, visual
-from sievework.plans import duplicates
+from sievework.plans import catalog, duplicates
 from sievework.sources import manifest
 
 
@@ -232,3 +232,9 @@ def test_curation_needs_equal_pixels_too(spark, tmp_path):
     spark.createDataFrame([(13, 0, 0), (17, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = {r["doc_id"]: (r["leader"], r["action"]) for r in duplicates.curation_pipeline(spark, str(tmp_path)).collect()}
     assert got == {1: (1, "keep"), 5: (5, "keep"), 9: (1, "drop_internal"), 13: (13, "drop_cross"), 17: (17, "drop_cross")}
+
+
+def test_flagship_is_the_whole_curation(monkeypatch):
+    monkeypatch.setitem(catalog.QUERIES, "curation_pipeline", lambda spark, sf_dir: "whole")
+    monkeypatch.setitem(catalog.QUERIES, "leader_clusters", lambda spark, sf_dir: "part")
+    assert catalog.flagship(None, "") == "whole"
