@@ -3,6 +3,10 @@
 Each line is good (1) or bad (0). Unary scores see the line's own features and those of the lines before and after it;
 transitions tie neighbouring labels. Forward-backward gives each line's probability of being good, and a document's score
 is their mean weighted by length. Recursions run in log odds, in numpy, over all documents of a batch at once.
+
+Only whole documents are labelled. So that the field sees labels change, it is also fitted on documents into which lines
+of a document of the other label are spliced, and then once more with the lines of bad documents, all but the worst of
+each, labelled as the first fit judges them: a bad document may hold good lines.
 """
 
 from __future__ import annotations
@@ -16,10 +20,12 @@ from sievework.llm import common
 
 #: The field is fitted on about so many labelled documents, those with the smallest hashes of their ids, of at most so many lines.
 TRAIN_DOCS, TRAIN_LINES = 3000, 200
-STEPS, RATE, RIDGE = 200, 0.1, 1e-4
+STEPS, RATE, RIDGE = 120, 0.1, 1e-4
 THRESHOLD = 0.7
 SYMBOLS = "#$%&*@^~<>{}[]\\|/=+_"
-FEATURES = 14
+FEATURES, AS_BEFORE = 14, 12
+#: Splices: so many copies of each training document, with up to so many lines of another.
+SPLICES, SPLICED_LINES, SEED = 1, 4, 17
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,9 +125,31 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
+def spliced(parts: list[np.ndarray], labels: list[int], line_labels: list[np.ndarray], splices: int = SPLICES) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(features, line labels) of the documents and of copies that hold a run of lines of a document of the other label."""
+    rng = np.random.default_rng(SEED)
+    features, lines = list(parts), list(line_labels)
+    of_label = [[k for k, y in enumerate(labels) if y == want] for want in (0, 1)]
+    for _ in range(splices):
+        for part, y, own in zip(parts, labels, line_labels, strict=True):
+            if not of_label[1 - y]:
+                continue
+            chosen = of_label[1 - y][rng.integers(len(of_label[1 - y]))]
+            other = parts[chosen]
+            n = min(int(rng.integers(1, SPLICED_LINES + 1)), len(other))
+            a, at = int(rng.integers(len(other) - n + 1)), int(rng.integers(len(part) + 1))
+            whole = np.concatenate([part[:at], other[a : a + n], part[at:]])
+            for edge in (at, at + n):
+                if edge < len(whole):
+                    whole[edge, AS_BEFORE] = 0
+            features.append(whole)
+            lines.append(np.concatenate([own[:at], line_labels[chosen][a : a + n], own[at:]]))
+    return features, lines
+
+
 def fit(own: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, moves) by Adam on the penalised conditional likelihood; every line has its document's label."""
-    x, y = with_neighbours(own, counts).astype(float), np.repeat(labels, counts).astype(float)
+    """(weights, moves) by Adam on the penalised conditional likelihood of the lines' labels."""
+    x, y = with_neighbours(own, counts).astype(float), labels.astype(float)
     ends = np.cumsum(counts)
     inner = np.ones(len(y), bool)
     inner[ends - 1] = False
@@ -142,6 +170,17 @@ def fit(own: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> tuple[np.nda
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
+def fit_spliced(parts: list[np.ndarray], labels: list[int], line_labels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    features, lines = spliced(parts, labels, line_labels)
+    return fit(np.concatenate(features), np.array([len(p) for p in features]), np.concatenate(lines))
+
+
+def line_chances(own: np.ndarray, counts: np.ndarray, model) -> np.ndarray:
+    """Each line's probability of being good."""
+    weights, moves = model
+    return sigmoid(np.add(*chain(with_neighbours(own, counts) @ weights, counts, moves)))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS):
     """The field's (weights, moves), from documents with a label of 0 or 1; without any, weights that give 1/2."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
@@ -161,17 +200,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = sorted(((r["label"], bytes(r["lines"])) for r in rows.mapInArrow(run, "label int, lines binary").collect()))
     if not got:
         return np.zeros(3 * FEATURES), np.zeros((2, 2))
-    own = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x in got])
-    counts = np.array([len(x) // (4 * FEATURES) for _, x in got])
-    return fit(own, counts, np.array([y for y, _ in got]))
+    parts, known = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x in got], [y for y, _ in got]
+    lines = [np.full(len(p), y) for p, y in zip(parts, known, strict=True)]
+    model = fit_spliced(parts, known, lines)
+    counts = np.array([len(p) for p in parts])
+    good = np.split(line_chances(np.concatenate(parts), counts, model), np.cumsum(counts)[:-1])
+    lines = [own if y else ((x > 0.5) & (x > x.min())).astype(int) for own, y, x in zip(lines, known, good, strict=True)]
+    return fit_spliced(parts, known, lines)
 
 
 def assess(texts: list[str], model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(score of each text, probability of each line, number of lines of each text)."""
-    weights, moves = model
     own, lengths, counts = line_features(texts)
-    unary = with_neighbours(own, counts) @ weights
-    good = sigmoid(np.add(*chain(unary, counts, moves)))
+    good = line_chances(own, counts, model)
     heavy, at = np.maximum(lengths, 1), np.cumsum(counts) - counts
     return np.add.reduceat(good * heavy, at) / np.add.reduceat(heavy, at), good, counts
 
@@ -179,7 +220,9 @@ def assess(texts: list[str], model) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
     """id, the columns of keep, score, predicted and, with lines, bad_lines: the places (from 0) of lines labelled bad.
 
-    A null text counts as empty; an empty one is a single empty line. Repeated rows are scored each.
+    A null text counts as empty; an empty one is a single empty line. Repeated rows are scored each, and equal texts get
+    equal scores. A text is scored whole, in memory of some 40 bytes for each of its characters. Other columns are ignored,
+    whatever their names; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
