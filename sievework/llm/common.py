@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -63,8 +64,31 @@ def map_text(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list[str |
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for tables between steps: the session's spark.checkpoint.dir, or one of its own where that is unset."""
+    """The folder for tables between steps: the session's spark.checkpoint.dir.
+
+    In local mode, as in tests, a session without one gets a folder of its own; on a cluster that is an error, as executors
+    wouldn't share it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns renamed by their place, and the new name of each: nothing that an operator adds can clash."""
+    names = {c: f"__d{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def with_names_back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -119,7 +119,12 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: i
         yield sorted(((r["k"], r["t"]) for r in rows.where("t <> ''").collect()), key=lambda x: (x[0] is None, *x[x[0] is None :]))
 
 
-def match_block(docs: DataFrame, items: list[tuple], kind: str, id_col: str, text_col: str, keep: tuple[str, ...], rate: float, name: str = "matches") -> DataFrame:
+def id_kind(benchmark: DataFrame, item_col: str) -> str:
+    return "string" if dict(benchmark.dtypes)[item_col] == "string" else "bigint"
+
+
+def match_block(docs: DataFrame, items: list[tuple], kind: str, id_col: str, text_col: str, keep: tuple[str, ...], rate: float) -> DataFrame:
+    """id, the columns of keep and matches, for one block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     state: dict = {}
     field = pa.list_(pa.struct([("item_id", pa.string() if kind == "string" else pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -130,16 +135,17 @@ def match_block(docs: DataFrame, items: list[tuple], kind: str, id_col: str, tex
         found = [[dict(zip(("item_id", "distance", "start", "end"), x, strict=True)) for x in state["matcher"].find(t)] if t else [] for t in texts]
         return [pa.array(found, field)]
 
-    rows = docs.withColumn("__sievework_normal", normalized(F.col(text_col)))
-    return common.map_text(rows, id_col, "__sievework_normal", run, f"{name} {MATCH.format(kind=kind)}", keep)
+    rows = docs.select(id_col, *keep, normalized(F.col(text_col)).alias("__sievework_normal"))
+    return common.map_text(rows, id_col, "__sievework_normal", run, f"matches {MATCH.format(kind=kind)}", keep)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """id, item_id, distance, start, end (in the normalised text): one row for each document and item that it holds.
 
-    Null and empty texts and items match nothing; repeated rows match each. Items with equal texts are found each.
+    Null and empty texts and items match nothing; repeated rows match each. Items with equal texts are found each. Texts
+    of any length are searched whole; an empty benchmark gives no rows. Other columns are ignored, whatever their names.
     """
-    kind = "string" if dict(benchmark.dtypes)[item_col] == "string" else "bigint"
+    kind = id_kind(benchmark, item_col)
     out = None
     for items in item_blocks(benchmark, item_col, item_text_col, block_chars):
         found = match_block(docs, items, kind, id_col, text_col, (), rate).select(id_col, F.explode("matches").alias("m")).select(id_col, "m.*")
@@ -149,13 +155,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERRO
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold an item; columns as before. Null texts stay."""
-    columns = docs.columns
-    for items in item_blocks(benchmark, "item_id", "text"):
-        marked = match_block(docs, items, "bigint", id_col, text_col, tuple(c for c in columns if c != id_col), rate, "__sievework_matches")
-        docs = marked.where(F.size("__sievework_matches") == 0).select(*columns)
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the documents that hold an item; columns as before, whatever their names.
+
+    Null and empty texts stay, and so does everything where the benchmark is empty; repeated rows go or stay together.
+    Texts of any length are searched whole.
+    """
+    rows, names = common.with_plain_names(docs)
+    kept = tuple(n for c, n in names.items() if c != id_col)
+    for items in item_blocks(benchmark, item_col, item_text_col, block_chars):
+        marked = match_block(rows, items, id_kind(benchmark, item_col), names[id_col], names[text_col], kept, rate)
+        rows = marked.where(F.size("matches") == 0).select(*names.values())
+    return common.with_names_back(rows, names)
 
 
 def op3_decontamination(spark, sf_dir):
