@@ -42,8 +42,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A line goes if a window over it occurs before, in the same document or in one that comes earlier by id. Its first
     occurrence stays, so no line is lost from the whole. Lines are compared without spaces at their ends; blank windows
     don't count. Texts of fewer lines than the width, empty and null ones stay as they are; a text whose lines all go
-    becomes empty. Rows with equal ids and texts are one document and get equal results.
+    becomes empty. Rows with equal ids and texts are one document and get equal results. Other columns pass through,
+    whatever their names (but for __n_lines and __removed, which this adds).
     """
+    columns = docs.columns
+    docs, names = common.with_plain_names(docs)
+    id_col, text_col = names[id_col], names[text_col]
     later = repeated_windows(docs, id_col, text_col, width).withColumnRenamed("key", "__key")
     rows = docs.withColumn("__row", row_key(id_col, text_col))
     joined = rows.join(later, F.col("__row").eqNullSafe(F.col("__key")), "left")
@@ -53,7 +57,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.array_join(F.flatten(F.transform(F.array(lines), lambda all_lines: F.transform(kept, lambda k: F.element_at(all_lines, k + 1)))), "\n")
     marked = joined.withColumn("__removed", F.when(F.col("places").isNull(), F.array().cast("array<int>")).otherwise(F.array_sort(covered)))
     return marked.select(
-        *[F.when(F.size("__removed") == 0, F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[(F.when(F.size("__removed") == 0, F.col(names[c])).otherwise(text) if names[c] == text_col else F.col(names[c])).alias(c) for c in columns],
         F.coalesce(F.size(lines), F.lit(0)).alias("__n_lines"),
         "__removed",
     )
