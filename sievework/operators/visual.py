@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators.iteration import checkpointed
+from sievework.operators.iteration import SMALL_GRAPH, checkpointed, leaders_of, roots_of
 
 #: Raster side, block of low frequencies, most differing bits, largest mean difference of bytes.
 SIDE, LOW = 32, 8
@@ -52,24 +53,48 @@ def bits_apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hamming_join(left: DataFrame, right: DataFrame, most: int, size: int = BITS) -> DataFrame:
-    """(l, r) for the pairs of ids whose hashes (id, h) differ in at most `most` bits.
+def bands_for(n: int, most: int, size: int = BITS) -> int:
+    """How many bands are joined on at once, so that key rows and pairs met by chance are the fewest for n hashes.
 
-    The hash is cut into bands, more of them than bits may differ, so that a pair agrees in one band at least: an
-    equi-join on bands that Spark can shuffle and, where skewed, split. Bands narrower than 6 bits would prune next to
-    nothing; then bands are joined in combinations of two, with two bands more.
+    Of most + j bands at least j agree. n hashes make n * C(most + j, j) key rows; pairs meet by chance in a key of b bits
+    with a probability of 2 ** -b. So keys grow to about log2(n) bits, as far as more of them don't cost more.
     """
-    bands = most + 1
-    joint = 1
-    if size // bands < 6:
-        bands, joint = most + 2, 2
+
+    def cost(j: int) -> float:
+        keys = math.comb(most + j, j)
+        return n * keys + n * n / 2 * keys / 2.0 ** (size * j // (most + j))
+
+    return min(range(1, 6), key=cost)
+
+
+def hamming_join(left: DataFrame, right: DataFrame | None, most: int, size: int = BITS, joint: int | None = None) -> DataFrame:
+    """(l, r) for the pairs of ids whose hashes (id, h) differ in at most `most` bits; without right, those of left with l < r.
+
+    The hash is cut into `most` bands and some more, so that a pair agrees in as many as there are more: an equi-join on
+    combinations of bands (see bands_for) that Spark can shuffle and, where skewed, split. A pair counts where it first
+    agrees in so many bands, so that none comes twice.
+    """
+    if joint is None:
+        n = left.count() if right is None else max(left.count(), right.count())
+        joint = bands_for(n, most, size)
+    bands = most + joint
     edges = [size * k // bands for k in range(bands + 1)]
-    pieces = [F.shiftright("h", a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), *[pieces[p].alias(f"p{j}") for j, p in enumerate(combo)]) for k, combo in enumerate(itertools.combinations(range(bands), joint))])
-    names = ["k", *[f"p{j}" for j in range(joint)]]
-    ls = left.select(F.col("id").alias("l"), F.col("h").alias("lh"), F.explode(keys).alias("b")).select("l", "lh", "b.*")
-    rs = right.select(F.col("id").alias("r"), F.col("h").alias("rh"), F.explode(keys).alias("b")).select("r", "rh", "b.*")
-    return ls.join(rs, names).where(bits_apart(F.col("lh"), F.col("rh")) <= most).select("l", "r").distinct()
+    cuts = [F.lit(((1 << b - a) - 1) << a) for a, b in zip(edges, edges[1:], strict=False)]
+    combos = list(itertools.combinations(range(bands), joint))
+    masks = [sum(((1 << edges[p + 1] - edges[p]) - 1) << edges[p] for p in combo) for combo in combos]
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        keys = F.transform(F.array(*map(F.lit, masks)), lambda m, k: F.struct(k.alias("k"), F.col("h").bitwiseAND(m).alias("key")))
+        return rows.select(F.col("id").alias(name), F.col("h").alias(f"{name}h"), F.explode(keys).alias("b")).select(name, f"{name}h", "b.*")
+
+    pairs = keyed(left, "l").join(keyed(left if right is None else right, "r"), ["k", "key"])
+    differ = F.col("lh").bitwiseXOR(F.col("rh"))
+    near = pairs.where((F.bit_count(differ) <= most) if right is not None else (F.col("l") < F.col("r")) & (F.bit_count(differ) <= most))
+    # the first combination in which a pair agrees is that of its first agreeing bands
+    agree = F.filter(F.transform(F.array(*cuts), lambda m, p: F.when(differ.bitwiseAND(m) == 0, p)), lambda p: p.isNotNull())
+    first = F.slice(agree, 1, joint)
+    combo = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in combos]), F.col("k") + 1)
+    return near.where(combo == first).select("l", "r")
 
 
 def mean_difference(a: Column, b: Column) -> Column:
@@ -84,31 +109,46 @@ def verified_pairs(pairs: DataFrame, rows: DataFrame, most: float = MAX_MEAN) ->
     return pairs.join(left, "l").join(right, "r").where(mean_difference(F.col("lp"), F.col("rp")) <= most).select("l", "r")
 
 
-def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def leaders(nodes: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """(id, leader): greedy clusters in the order of id, where each row joins the first leader it matches or else leads.
 
     The leaders are the lexicographically first maximal independent set, found in rounds: with every earlier neighbour
-    decided and none a leader, a node leads; with a leader before it, it follows. edges has (a, b) with a < b.
+    decided and none a leader, a node leads; with a leader before it, it follows. Rounds keep only what is undecided:
+    edges from leaders and followers are used up. A graph of a checked, small size is solved in one task instead. edges
+    has (a, b) with a < b.
     """
     edges = checkpointed(edges.select("a", "b").distinct())
-    state = checkpointed(nodes.select("id", F.lit(None).cast("boolean").alias("leads")))
-    while True:
-        before = edges.join(state.select(F.col("id").alias("a"), F.col("leads").alias("a_leads")), "a")
-        seen = before.groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce("a_leads", F.lit(False))).alias("follows"), F.count_if(F.col("a_leads").isNull()).alias("open"))
-        decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("follows", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = checkpointed(state.join(seen, "id", "left").select("id", decided.alias("leads")))
-        if state.where("leads IS NULL").isEmpty():
-            break
-    first = edges.join(state.where("leads").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"))
-    return state.join(first, "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("first")).alias("leader"))
-
-
-def cross_components(pairs: DataFrame) -> DataFrame:
+    if edges.count() <= small:
+        found = checkpointed(edges.coalesce(1).mapInArrow(leaders_of, "id long, leader long"))
+        return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+    left, followers = edges, None
+    while not left.isEmpty():
+        # of the nodes with open edges, those without an open edge from before lead
+        leading = left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        found = checkpointed(left.join(leading.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct())
+        followers = found if followers is None else followers.unionByName(found)
+        gone = found.unionByName(leading)
+        left = checkpointed(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+    first = edges.join(followers.withColumnRenamed("id", "a"), "a", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+    first = first.join(followers, "id", "left_semi")
+    return nodes.select("id").join(first, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+
+
+def cross_components(pairs: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """(side, id, component) of a bipartite graph (p, n): components are named by their least p.
 
-    Labels spread along the edges and jump to the label of the label, a checkpoint a round.
+    Labels spread along the edges and jump to the label of the label, a checkpoint a round. A graph of a checked, small
+    size is solved in one task instead.
     """
     pairs = checkpointed(pairs.select("p", "n").distinct())
+    if pairs.count() <= small:
+        # both sides' ids in one row of numbers: p as 2p, n as 2n + 1
+        doubled = pairs.select((F.col("p") * 2).alias("u"), (F.col("n") * 2 + 1).alias("v"))
+        roots = checkpointed(doubled.coalesce(1).mapInArrow(roots_of, "node long, root long"))
+        nodes = doubled.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        least = nodes.groupBy("root").agg(F.min(F.when(F.col("node") % 2 == 0, F.shiftright("node", 1))).alias("component"))
+        side = F.when(F.col("node") % 2 == 0, "P").otherwise("N")
+        return nodes.join(least, "root").select(side.alias("side"), F.shiftright("node", 1).alias("id"), "component")
     labels = checkpointed(pairs.select(F.col("p").alias("id"), F.col("p").alias("label")).distinct())
     while True:
         of_n = pairs.join(labels, pairs["p"] == labels["id"]).groupBy("n").agg(F.min("label").alias("label"))

@@ -49,7 +49,20 @@ def median_hash(spark, sf_dir):
 
 
 def edges_among(rows: DataFrame, most: int) -> DataFrame:
-    return visual.hamming_join(rows, rows, most).where("l < r").select(F.col("l").alias("a"), F.col("r").alias("b"))
+    return visual.hamming_join(rows, None, most).select(F.col("l").alias("a"), F.col("r").alias("b"))
+
+
+def led_by_hash(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """rows (id, h) with the leader of each, among rows that agree in `by`; rows of equal hashes have the leader of their first."""
+    rows = visual.checkpointed(rows)
+    firsts = visual.checkpointed(rows.groupBy(*by, "h").agg(F.min("id").alias("id")))
+    edges = edges_among(firsts, most)
+    for side in "ab" if by else "":
+        edges = edges.join(firsts.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in by]), side)
+    for c in by:
+        edges = edges.where(F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")))
+    found = visual.leaders(firsts, edges).join(firsts, "id")
+    return rows.join(found.drop("id"), [*by, "h"])
 
 
 def hamming_pairs(spark, sf_dir):
@@ -78,15 +91,11 @@ def verified_pairs(spark, sf_dir):
 def led(spark, sf_dir) -> DataFrame:
     """Leaders in each class (labels below 5: P): side, id, leader, h."""
     rows = vectors(spark, sf_dir).withColumn("side", F.when(F.col("label") < 5, "P").otherwise("N"))
-    edges = edges_among(rows, VECTOR_BITS)
-    sides = rows.select("id", "side")
-    within = edges.join(sides.withColumnsRenamed({"id": "a", "side": "sa"}), "a").join(sides.withColumnsRenamed({"id": "b", "side": "sb"}), "b").where("sa = sb")
-    return rows.select("id", "side", "h").join(visual.leaders(rows, within), "id")
+    return led_by_hash(rows.select("id", "side", "h"), ["side"], VECTOR_BITS).select("id", "side", "h", "leader")
 
 
 def leader_clusters(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    return visual.leaders(rows, edges_among(rows, VECTOR_BITS)).select(F.col("id").alias("vec_id"), "leader")
+    return led_by_hash(vectors(spark, sf_dir).select("id", "h"), [], VECTOR_BITS).select(F.col("id").alias("vec_id"), "leader")
 
 
 def internal_survivors(spark, sf_dir):
