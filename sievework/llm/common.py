@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sievework.operators.iteration import checkpointed, shared_folder
+
+__all__ = ["checkpointed", "delete_folder", "id_crc32", "map_text", "only_ids", "read", "shared_folder", "slices", "stored", "with_names_back", "with_plain_names"]
+
 #: Python workers handle about so many characters at once, whatever the size of an Arrow batch.
 SLICE_CHARS = 1 << 20
 
@@ -19,12 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage. The folder is the session's spark.checkpoint.dir; only a session without one gets its own."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def id_crc32(id_col: str) -> Column:
     """CRC-32 of the id's decimal text."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
@@ -63,19 +60,26 @@ def map_text(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list[str |
     return frame.mapInArrow(run, ddl)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for tables between steps: the session's spark.checkpoint.dir.
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written as Parquet in the shared folder (smaller than a checkpoint), and the folder that it was written to."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder), folder
 
-    In local mode, as in tests, a session without one gets a folder of its own; on a cluster that is an error, as executors
-    wouldn't share it.
+
+def only_ids(df: DataFrame, id_col: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """df without most of the rows whose id isn't among ids (one column of longs), by a broadcast bitmap of so many bits.
+
+    Saves dealing out rows that an inner join would drop; of many more ids than bits it would keep all.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("long")
+    held = ids.toDF("id").select(place("id").alias("at"))
+    held = held.select(F.bitmap_bucket_number("at").alias("__bucket"), F.bitmap_bit_position("at").alias("bit"))
+    held = held.groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("__bitmap"))
+    at = F.bitmap_bit_position(place(id_col))
+    byte = F.conv(F.hex(F.substring(F.col("__bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = df.join(F.broadcast(held), F.bitmap_bucket_number(place(id_col)) == F.col("__bucket"))
+    return rows.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*[df[c] for c in df.columns])
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:

@@ -10,30 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import common
+from sievework.operators.iteration import SMALL_GRAPH, roots_of
 
 #: Rounds in which groups are compared with a member drawn by hash, before what is left is grouped anew.
 DRAWS = 3
-#: Graphs of no more edges than this are solved in one task.
-SMALL_GRAPH = 1 << 17
-
-
-def roots_of(batches):
-    """(node, root) of all edges (u, v) that one task gets, by union-find."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := root.get(x, x)) != x:
-            root[x] = root.get(y, y)
-            x = y
-        return x
-
-    for batch in batches:
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            u, v = find(u), find(v)
-            root[max(u, v)] = min(u, v)
-    if found := [(x, find(x)) for x in list(root)]:
-        found = [(x, r) for x, r in found if x != r]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["node", "root"])
 
 
 def connected_components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
@@ -98,23 +78,24 @@ def by_rare_tokens(tokened: DataFrame, prefix: Callable[[np.ndarray, np.ndarray]
     return listed.mapInArrow(run, "key long, node long, root long, at int")
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], draws: int = DRAWS) -> DataFrame:
+def link_groups(early: DataFrame, later: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], draws: int = DRAWS) -> DataFrame:
     """What verify keeps of pairs of a group's members that is enough to give the components of all pairs it would keep.
 
-    members: key, node, place (anything that verify wants to know of a node in a group); verify takes (a, b, a_place,
+    early: key, node, place (anything that verify wants to know of a node in a group); verify takes (a, b, a_place,
     b_place), where pairs repeat, and returns rows with a and b. Groups may be of any size: each member is compared with
-    the first of its group; then, where a group's members lie in several components, with members drawn by hash, a few
-    times over. For what is left, refine takes (node, root) and returns members with their roots in groups that are fine
-    enough to compare all pairs of different components, and that lose none. So a group of copies, or of texts that a few
-    of them tie together, costs its rows, and members that match nothing don't meet the whole group.
+    the first of its group. Then later takes what is known, (node, root), and returns the members (key, node, place, root)
+    of all groups that hold several components; these are compared with members drawn by hash, a few times over. For what
+    is left, refine takes (node, root) and returns members with their roots in groups that are fine enough to compare all
+    pairs of different components, and that lose none. So a group of copies, or of texts that a few of them tie together,
+    costs its rows, and members that match nothing don't meet the whole group.
     """
-    hubs = members.groupBy("key").agg(F.min(F.struct("node", "place")).alias("hub"), F.max("node").alias("most")).where("hub.node <> most").drop("most")
-    pairs = members.join(hubs, "key").where("node <> hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("place").alias("a_place"), F.col("hub.place").alias("b_place"))
+    hubs = early.groupBy("key").agg(F.min(F.struct("node", "place")).alias("hub"), F.max("node").alias("most")).where("hub.node <> most").drop("most")
+    pairs = early.join(hubs, "key").where("node <> hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("place").alias("a_place"), F.col("hub.place").alias("b_place"))
     found = common.checkpointed(verify(pairs))
     roots = connected_components(found.select("a", "b"))
-    k = 0
+    k, members = 0, None
     while k <= draws:
-        members = common.checkpointed(still_apart(members, roots))
+        members = common.checkpointed(later(roots) if members is None else still_apart(members, roots))
         if members.isEmpty():
             break
         if k < draws:

@@ -16,8 +16,8 @@ from sievework.llm import common
 WORD = r"[^\x20\x09-\x0D]+"
 #: Integrals 5, 2 and 1: an early, a steady and a late schedule, dealt to the sources in turn.
 SCHEDULES = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
-#: Documents of a source are dealt to so many hash ranges at least, and to more as rows grow.
-LEAST_RANGES, RANGE_ROWS = 16, 65536
+#: Documents of a source are dealt to hash ranges of about so many rows.
+RANGE_ROWS = 512
 
 
 def integral(knots) -> float:
@@ -71,7 +71,9 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, cap: float = 2
     once and again until its target is reached (cap at most 2): the one at the end is taken in part. position and
     second_position (0 to 1, null: not taken) are the training times of a document's first and second taking. Null is a
     source of its own, the last by name; sources without words get a target of zero; an empty table gives none. Repeated
-    rows are taken each. Rows come range-sorted by position, then id.
+    rows are taken each. Rows come range-sorted by position, then id. Texts of any length are counted whole; other
+    columns are ignored, whatever their names. Sources are a dimension: their targets are worked out in one task, a row
+    for each source.
     """
     rows = common.checkpointed(
         docs.select(
@@ -81,8 +83,9 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, cap: float = 2
             F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
         )
     )
-    ranges = max(LEAST_RANGES, rows.count() // RANGE_ROWS + 1)
-    rows = rows.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0**32 * ranges).cast("int"))
+    ranges = rows.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count("*") / RANGE_ROWS).alias("ranges"))
+    rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("of")))
+    rows = rows.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("ranges")).cast("int")).drop("of", "ranges")
     place = ["source", "range"]
     parts = rows.groupBy(*place).agg(F.sum("size").alias("part_size"))
     plan = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), schedules, share, cap)

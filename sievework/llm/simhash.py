@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import common
-from sievework.llm.components import by_rare_tokens, connected_components, link_groups
+from sievework.llm.components import by_rare_tokens, connected_components, link_groups, still_apart
 from sievework.llm.passages import lowered, mix64, tokens
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -252,9 +252,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = placed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     members = common.checkpointed(placed.join(groups, "key").join(places, "node").select("key", "node", "place"))
     texts = named.where(F.col("id").isNotNull()).select("id", "body")
-    texts.join(members.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id"]).write.parquet(f"{folder}/bodies")
+    nodes = members.select(F.col("node").alias("id")).distinct()
+    common.only_ids(texts, "id", nodes).join(nodes, "id").dropDuplicates(["id"]).write.parquet(f"{folder}/bodies")
     bodies = docs.sparkSession.read.parquet(f"{folder}/bodies")
-    roots = connected_components(link_groups(members, lambda pairs: alike(pairs, bodies, least, radius), lambda nodes: rare_groups(nodes, bodies, places, least)).select("a", "b"))
+    links = link_groups(members, lambda roots: still_apart(members, roots), lambda pairs: alike(pairs, bodies, least, radius), lambda nodes: rare_groups(nodes, bodies, places, least))
+    roots = connected_components(links.select("a", "b"))
+    common.delete_folder(docs.sparkSession, f"{folder}/bodies")
     classes = same.select("g1", "g2", "g0", F.col("f.id").alias("first")).join(roots, F.col("first") == F.col("node"), "left").select("g1", "g2", "g0", F.coalesce("root", "first").alias("root"))
     rows = signed_rows.select("__own", "id", F.when(wordless, 0).otherwise(F.col("h1")).alias("g1"), F.when(wordless, 0).otherwise(F.col("h2")).alias("g2"), wordless.alias("g0"))
     return rows.join(classes, ["g1", "g2", "g0"], "left").select(F.col("__own").alias(id_col), F.when(F.col("id").isNotNull(), F.col("root")).alias("component_id"))

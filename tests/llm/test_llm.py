@@ -344,8 +344,9 @@ def test_components(spark):
     for _ in range(100):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
-    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {n: r for n, r in root.items() if n != r}
+    for small in (0, 1000):
+        got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long"), small).collect()}
+        assert got == {n: r for n, r in root.items() if n != r}
 
 
 def brute_windows(values, length):
@@ -387,6 +388,7 @@ def test_shared_passages_are_linked(spark):
     got = {r["doc_id"]: r for r in passages.passage_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert {k: r["component_id"] for k, r in got.items()} == {10: 10, 11: 10, 12: 12, 13: 13, 14: 13, 15: 15, 16: 10, 17: 17, 18: 18}
     assert [tuple(x) for x in got[11]["spans"]] == [(20, 80)] and got[12]["n_links"] == 0
+    assert all(got[k]["n_links"] > 0 for k in (10, 11, 13, 14, 16))
 
 
 def test_every_operator_is_registered():
