@@ -97,7 +97,8 @@ def test_op2_finds_planted_bad_lines(spark):
     scored = quality.score_quality(spark.createDataFrame([p[:2] for p in planted], "doc_id long, text string"), model, lines=True).collect()
     places = {p[0]: p[2] for p in planted}
     assert np.mean([places[r["doc_id"]] in r["bad_lines"] for r in scored]) > 0.9
-    assert np.mean([len(r["bad_lines"]) == 1 for r in scored]) > 0.9
+    wrong = sum(len(set(r["bad_lines"]) - {places[r["doc_id"]]}) for r in scored)
+    assert wrong / sum(p[1].count("\n") for p in planted) < 0.05
 
 
 def test_op3(spark, folder):
