@@ -83,7 +83,7 @@ def link_groups(early: DataFrame, later: Callable[[DataFrame], DataFrame], verif
 
     early: key, node, place (anything that verify wants to know of a node in a group); verify takes (a, b, a_place,
     b_place), where pairs repeat, and returns rows with a and b. Groups may be of any size: each member is compared with
-    the first of its group. Then later takes what is known, (node, root), and returns the members (key, node, place, root)
+    the first of its group. Then later takes what is known, (node, root), and returns the members (key, node, place, root; checkpointed)
     of all groups that hold several components; these are compared with members drawn by hash, a few times over. For what
     is left, refine takes (node, root) and returns members with their roots in groups that are fine enough to compare all
     pairs of different components, and that lose none. So a group of copies, or of texts that a few of them tie together,
@@ -95,7 +95,7 @@ def link_groups(early: DataFrame, later: Callable[[DataFrame], DataFrame], verif
     roots = connected_components(found.select("a", "b"))
     k, members = 0, None
     while k <= draws:
-        members = common.checkpointed(later(roots) if members is None else still_apart(members, roots))
+        members = later(roots) if members is None else common.checkpointed(still_apart(members, roots))
         if members.isEmpty():
             break
         if k < draws:

@@ -255,7 +255,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = members.select(F.col("node").alias("id")).distinct()
     common.only_ids(texts, "id", nodes).join(nodes, "id").dropDuplicates(["id"]).write.parquet(f"{folder}/bodies")
     bodies = docs.sparkSession.read.parquet(f"{folder}/bodies")
-    links = link_groups(members, lambda roots: still_apart(members, roots), lambda pairs: alike(pairs, bodies, least, radius), lambda nodes: rare_groups(nodes, bodies, places, least))
+    links = link_groups(members, lambda roots: common.checkpointed(still_apart(members, roots)), lambda pairs: alike(pairs, bodies, least, radius), lambda nodes: rare_groups(nodes, bodies, places, least))
     roots = connected_components(links.select("a", "b"))
     common.delete_folder(docs.sparkSession, f"{folder}/bodies")
     classes = same.select("g1", "g2", "g0", F.col("f.id").alias("first")).join(roots, F.col("first") == F.col("node"), "left").select("g1", "g2", "g0", F.coalesce("root", "first").alias("root"))
