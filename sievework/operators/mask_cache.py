@@ -33,8 +33,17 @@ def entries(spark: SparkSession, folder: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SCHEMA)
-    sound = found.where(F.length("mask") == F.col("w").cast("long") * F.col("h"))
-    return sound.dropDuplicates(["key", "signature", "w", "h"])
+    return found.where(sound(F.length("mask"))).dropDuplicates(["key", "signature", "w", "h"])
+
+
+def sound(cells: Column) -> Column:
+    """Whether an entry of so many bytes is a grey mask of its size."""
+    return cells == F.col("w").cast("long") * F.col("h")
+
+
+def hits(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """wanted (key, signature, w, h) joined to the sound entries that agree in all four."""
+    return wanted.join(known, ["key", "signature", "w", "h"])
 
 
 def subject_masks(rows: DataFrame, folder: str) -> DataFrame:
@@ -45,7 +54,7 @@ def subject_masks(rows: DataFrame, folder: str) -> DataFrame:
     """
     spark = rows.sparkSession
     known = rows.select("kind", "relpath", key().alias("key"), "signature", F.col("shape")[1].alias("w"), F.col("shape")[0].alias("h"))
-    hits = checkpointed(known.join(entries(spark, folder), ["key", "signature", "w", "h"]).select("kind", "relpath", "mask"))
+    held = checkpointed(hits(known, entries(spark, folder)).select("kind", "relpath", "mask"))
 
     def run(batches):
         for pdf in batches:
@@ -58,9 +67,9 @@ def subject_masks(rows: DataFrame, folder: str) -> DataFrame:
             sizes = {"w": [s[1] for s in pdf["shape"]], "h": [s[0] for s in pdf["shape"]]}
             yield pd.DataFrame({"kind": pdf["kind"], "relpath": pdf["relpath"], "signature": pdf["signature"], **sizes, "mask": found})
 
-    missed = rows.join(hits.select("kind", "relpath"), ["kind", "relpath"], "left_anti").select("kind", "relpath", "signature", "shape", "picture")
+    missed = rows.join(held.select("kind", "relpath"), ["kind", "relpath"], "left_anti").select("kind", "relpath", "signature", "shape", "picture")
     fresh = checkpointed(missed.repartition("relpath").mapInPandas(run, "kind string, relpath string, signature string, w int, h int, mask binary"))
     new = fresh.where("mask IS NOT NULL").select(key().alias("key"), "signature", "w", "h", "mask")
     if not new.isEmpty():
         new.write.mode("append").parquet(folder)
-    return hits.unionByName(fresh.select("kind", "relpath", "mask"))
+    return held.unionByName(fresh.select("kind", "relpath", "mask"))

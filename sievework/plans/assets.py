@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import geometry, names
-from sievework.operators import selection
+from sievework.operators import mask_cache, selection
 from sievework.sources import manifest
 from sievework.sources.manifest import ASSETS_SQL, IMAGES_SQL
 
@@ -172,18 +172,19 @@ def stale_outputs(spark, sf_dir):
 
 
 def cache_lookup(spark, sf_dir):
-    """Hits and misses of a mask cache: an entry counts if its signature, mode and size agree."""
-    rows = assets(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    now = rows.select("doc_id", F.sha2(F.concat(F.lit("composite/"), F.col("relpath")), 256).alias("key"), F.concat(F.lit("v1/"), F.col("n_chars").cast("string")).alias("signature"), "w", "h")
+    """Hits and misses of a mask cache: an entry counts if it is a grey mask of its size, and signature and size agree."""
+    rows = assets(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("kind", F.lit("composite"))
+    now = rows.select("doc_id", mask_cache.key().alias("key"), F.concat(F.lit("v1/"), F.col("n_chars").cast("string")).alias("signature"), "w", "h")
+    cells = F.col("w").cast("long") * F.col("h")
     cache = now.where("doc_id % 3 <> 0").select(
         "key",
-        F.when(F.expr("doc_id % 5 = 0"), F.lit("v0/0")).otherwise(F.col("signature")).alias("c_signature"),
-        F.when(F.expr("doc_id % 7 = 0"), "RGB").otherwise("L").alias("c_mode"),
-        F.when(F.expr("doc_id % 11 = 0"), F.col("w") + 1).otherwise(F.col("w")).alias("c_w"),
-        F.col("h").alias("c_h"),
+        F.when(F.expr("doc_id % 5 = 0"), F.lit("v0/0")).otherwise(F.col("signature")).alias("signature"),
+        F.when(F.expr("doc_id % 11 = 0"), F.col("w") + 1).otherwise(F.col("w")).alias("w"),
+        "h",
+        F.when(F.expr("doc_id % 7 = 0"), 3 * cells).otherwise(F.when(F.expr("doc_id % 11 = 0"), cells + F.col("h")).otherwise(cells)).alias("cells"),
     )
-    hit = (F.col("signature") == F.col("c_signature")) & (F.col("c_mode") == "L") & (F.col("w") == F.col("c_w")) & (F.col("h") == F.col("c_h"))
-    return now.join(cache, "key", "left").select("doc_id", "key", F.when(F.coalesce(hit, F.lit(False)), "hit").otherwise("miss").alias("state"))
+    found = mask_cache.hits(now.select("key", "signature", "w", "h"), cache.where(mask_cache.sound(F.col("cells")))).select("key").distinct().withColumn("hit", F.lit("hit"))
+    return now.join(found, "key", "left").select("doc_id", "key", F.coalesce("hit", F.lit("miss")).alias("state"))
 
 
 def placement_clamp(spark, sf_dir):

@@ -20,6 +20,8 @@ from sievework.sources import manifest, sinks
 #: The classes, in the order in which they are numbered, and the seed of manifest samples.
 CLASSES = ("P", "N")
 SEED = selection.SEED
+#: JPEG qualities of cropped and of augmented pictures.
+CROP_QUALITY, AUGMENT_QUALITY = 95, 92
 
 
 def local(path: Column) -> Column:
@@ -64,7 +66,7 @@ def gathered(spark: SparkSession, root: str, source: str, manifest_path: str | N
 def prepared(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
     """rows with output names, content, cropped, and what duplicates are found by; undecodable pictures are dropped before naming.
 
-    Square pictures keep their bytes; others are cropped and encoded as PNG.
+    Square pictures keep their bytes; others are cropped and encoded as JPEG, if they are named so, or as PNG.
     """
     pictures = sinks.read_pictures(spark, root).withColumn("path", local(F.col("path")))
     joined = rows.join(pictures, "path").withColumn("wanted", names.prefixed(F.col("leaf"), F.col("name")))
@@ -78,7 +80,7 @@ def prepared(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
             for r in pdf.itertuples():
                 picture = square(r.data, r.width, r.height, r.channels)
                 grey, rgb = small(picture)
-                out.append((r.side, r.path, r.output, r.width != r.height, r.content if r.width == r.height else sinks.png(picture), grey, rgb))
+                out.append((r.side, r.path, r.output, r.width != r.height, r.content if r.width == r.height else sinks.encoded(picture, r.path, CROP_QUALITY), grey, rgb))
             yield pd.DataFrame(out, columns=["side", "path", "output", "cropped", "content", "pixels", "rgb"])
 
     both = named.join(pictures, "path").join(original, "path").select("side", "path", "output", "width", "height", "channels", "data", "content")
@@ -134,20 +136,25 @@ def written(spark: SparkSession, folder: str, rows: DataFrame) -> int:
 def combine(spark: SparkSession, root: str, sources: dict[str, str], outputs: dict[str, str], manifests: dict[str, str] | None = None, choices: DataFrame | None = None, default: str | None = None) -> DataFrame:
     """Fills a folder for each class (P, N) from its source tree and manifest, squared and without near duplicates.
 
-    Returns side, path, output, cropped and action of every decodable picture; those of `keep` and `unresolved` are
-    written. Everything is checked before any folder changes: ValueError for a source that isn't there, a bad manifest,
-    or an output folder with other content than pictures.
+    Returns side, path, output, cropped and action of every decodable picture (sinks.unreadable() lists the others); those
+    of `keep` are written. Everything is checked before any folder changes: ValueError for a source that isn't there, a
+    bad manifest, an output folder with other content than pictures, or a conflict between the classes that neither
+    choices nor the default resolve.
     """
     for side in CLASSES:
         if not os.path.isdir(sources[side]):
             raise ValueError(f"no source folder: {sources[side]}")
     taken = [gathered(spark, root, sources[side], (manifests or {}).get(side)).withColumn("side", F.lit(side)) for side in CLASSES]
     for side in CLASSES:
-        sinks.guarded(spark, outputs[side])
+        sinks.checked(spark, outputs[side])
     ready = checkpointed(prepared(spark, root, taken[0].unionByName(taken[1])))
     plan = checkpointed(ready.select("side", "path", "output", "cropped").join(duplicates(ready, choices, default), ["side", "output"]))
+    open_ones = [r["output"] for r in plan.where("action = 'unresolved'").orderBy("output").limit(5).collect()]
+    if open_ones:
+        raise ValueError(f"unresolved conflicts: {', '.join(open_ones)}")
     for side in CLASSES:
-        good = plan.where((F.col("side") == side) & F.col("action").isin("keep", "unresolved")).select("side", "output")
+        sinks.guarded(spark, outputs[side])
+        good = plan.where((F.col("side") == side) & (F.col("action") == "keep")).select("side", "output")
         written(spark, outputs[side], ready.join(good, ["side", "output"], "left_semi").select(F.col("output").alias("name"), "content"))
     return plan
 
@@ -156,7 +163,7 @@ def augment_tree(spark: SparkSession, root: str, transforms: str, composites: st
     """Augments a stratified sample of `transforms` and all of `composites`, each on a background, into output/kind_group.
 
     The four folders hold groups and lie below root. Returns kind, grp, path, number, output and background. Excluded
-    pictures leave gaps in the numbers and keep their backgrounds. Files are named `0001.jpg` and so on and hold PNG.
+    pictures leave gaps in the numbers and keep their backgrounds. Files are JPEG, named `0001.jpg` and so on.
     With a cache folder, masks of unchanged pictures come from there, and new ones are added.
     ValueError: an empty tree, unknown exclusions, too few backgrounds, foreign content, or a picture without a subject.
     """
@@ -184,8 +191,9 @@ def augment_tree(spark: SparkSession, root: str, transforms: str, composites: st
     columns = ["kind", "grp", "path", "relpath", "number", "output", "background"]
     jobs = checkpointed(jobs.select(*columns).unionByName(selection.numbered(composed, lines).withColumn("kind", F.lit("composite")).select(*columns)))
     folders = [(r["kind"], r["grp"]) for r in jobs.select("kind", "grp").distinct().collect()]  # a row for each group
-    for kind, grp in folders:
-        sinks.guarded(spark, os.path.join(output, f"{kind}_{grp}"), numbered=True)
+    for check in (sinks.checked, sinks.guarded):
+        for kind, grp in folders:
+            check(spark, os.path.join(output, f"{kind}_{grp}"), numbered=True)
 
     form = F.array("height", "width", "channels")
     pictures = sinks.read_pictures(spark, root).select(local(F.col("path")).alias("path"), form.alias("shape"), F.col("data").alias("picture"))
@@ -212,7 +220,7 @@ def augment_tree(spark: SparkSession, root: str, transforms: str, composites: st
                         subject = augment.as_rgb(picture, shape)
                         mask = None if found is None else np.frombuffer(found, np.uint8).reshape(subject.shape[:2])
                         made = augment.transform(subject, rng, mask, size) if kind == "transform" else augment.composite(subject, augment.as_rgb(scene, scene_shape), rng, mask, size)
-                        contents.append(sinks.png(np.ascontiguousarray(made)))
+                        contents.append(sinks.jpeg(np.ascontiguousarray(made), AUGMENT_QUALITY))
                 except ValueError:  # no subject
                     contents.append(None)
             yield pd.DataFrame({"kind": pdf["kind"], "grp": pdf["grp"], "relpath": pdf["relpath"], "output": pdf["output"], "content": contents})

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import names
+from sievework.sources.jpeg import jpeg
 
 #: Fixed value: the form of numbered outputs.
 NUMBERED = r"^\d+\.jpg$"
@@ -37,13 +38,18 @@ def list_folder(spark, folder: str) -> DataFrame:
     return spark.createDataFrame(entries, "name string, is_file boolean, is_link boolean")
 
 
-def guarded(spark, folder: str, numbered: bool = False) -> str:
-    """The folder, made if need be. Raises ValueError if it is a link or no folder, or holds foreign content."""
+def checked(spark, folder: str, numbered: bool = False) -> None:
+    """Raises ValueError if the folder is a link or no folder, or holds foreign content; changes nothing."""
     if os.path.islink(folder) or (os.path.exists(folder) and not os.path.isdir(folder)):
         raise ValueError(f"not a folder: {folder}")
     found = foreign_content(list_folder(spark, folder), numbered).select("name").limit(1).collect()
     if found:
         raise ValueError(f"{folder} holds {found[0][0]}; nothing was cleared")
+
+
+def guarded(spark, folder: str, numbered: bool = False) -> str:
+    """The checked folder, made if need be."""
+    checked(spark, folder, numbered)
     os.makedirs(folder, exist_ok=True)
     return folder
 
@@ -102,6 +108,11 @@ def png(picture: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def encoded(picture: np.ndarray, name: str, quality: int) -> bytes:
+    """A picture in the format that its name asks for: JPEG of that quality, or else PNG."""
+    return jpeg(picture, quality) if re.search(r"\.jpe?g$", name, re.IGNORECASE) else png(picture)
+
+
 #: EXIF's tag of the orientation, and for each orientation the turn that makes a picture upright.
 ORIENTATION_TAG = 0x0112
 UPRIGHT = {
@@ -184,3 +195,11 @@ def read_pictures(spark, root: str) -> DataFrame:
     flat = found.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
     placed = flat.withColumn("place", F.regexp_replace("path", "^file:/+", "/")).join(turned_files(spark, root), "place", "left")
     return placed.select(*flat.columns, F.coalesce("orientation", F.lit(1)).alias("orientation")).mapInPandas(run, flat.schema)
+
+
+def unreadable(spark, root: str) -> DataFrame:
+    """path of the files below root that have a picture's suffix, but that no decoder reads (WebP, or broken ones)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = files.select("path", F.regexp_replace("path", "^file:/+", "/").alias("place")).where(names.is_image(F.regexp_extract("path", "([^/]+)$", 1)))
+    found = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
+    return listed.join(found.select(F.regexp_replace("image.origin", "^file:/+", "/").alias("place")), "place", "left_anti").select("path")

@@ -126,12 +126,14 @@ def test_leaders_equal_greedy(spark, seed):
     rng = random.Random(seed)
     n = 30
     edges = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.1} | {(0, 1), (1, 2)}
-    got = visual.leaders(spark.range(n), spark.createDataFrame(sorted(edges), "a long, b long"))
-    assert {r["id"]: r["leader"] for r in got.collect()} == greedy(n, edges)
+    for small in (0, 1000):
+        got = visual.leaders(spark.range(n), spark.createDataFrame(sorted(edges), "a long, b long"), small)
+        assert {r["id"]: r["leader"] for r in got.collect()} == greedy(n, edges)
 
 
 def test_cross_components_and_policy(spark):
     pairs = spark.createDataFrame([(1, 11), (2, 11), (2, 12), (5, 15)], "p long, n long")
+    assert rows(visual.cross_components(pairs, small=0)) == rows(visual.cross_components(pairs))
     members = visual.cross_components(pairs)
     assert rows(members) == [("N", 11, 1), ("N", 12, 1), ("N", 15, 5), ("P", 1, 1), ("P", 2, 1), ("P", 5, 5)]
     choices = spark.createDataFrame([(1, "P")], "component long, choice string")
@@ -152,6 +154,8 @@ def test_hamming_join_loses_nothing(spark, most):
     df = spark.createDataFrame(list(enumerate(values)), "id long, h long")
     wanted = sorted((a, b) for a in range(80) for b in range(80) if (values[a] ^ values[b]).bit_count() <= most)
     assert rows(visual.hamming_join(df, df, most)) == wanted
+    for joint in (1, 2, 3) if most < 18 else (1, 2):
+        assert rows(visual.hamming_join(df, None, most, joint=joint)) == [(a, b) for a, b in wanted if a < b]
 
 
 def test_dct_hash_bits(spark):

@@ -75,3 +75,40 @@ def test_orientation_of_a_jpeg_and_of_broken_fields():
     assert sinks.orientation(jpeg) == 6
     assert [sinks.orientation(jpeg[:k]) for k in (0, 2, 5, 14, 20, 28)] == [1] * 6
     assert sinks.orientation(b"GIF89a") == 1
+
+
+def smooth(h: int, w: int) -> np.ndarray:
+    y, x = np.mgrid[0:h, 0:w]
+    waves = [128 + 90 * np.cos(x / 9 + y / 13), 128 + 70 * np.cos(x / 17) * np.cos(y / 7), (2 * x + 3 * y) % 256 / 2 + 60]
+    return np.clip(np.dstack(waves), 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("shape", [(8, 8), (45, 61), (320, 320), (1, 3)])
+def test_jpeg_is_read_back(spark, tmp_path, shape):
+    picture = smooth(*shape)
+    content = sinks.encoded(picture, "a.JPG", 92)
+    assert content[:2] == b"\xff\xd8" and content[6:10] == b"JFIF" and sinks.encoded(picture, "a.png", 92)[:4] == b"\x89PNG"
+    (tmp_path / "a.jpg").write_bytes(content)
+    (row,) = sinks.read_pictures(spark, str(tmp_path)).collect()
+    got = np.frombuffer(row["data"], np.uint8).reshape(shape[0], shape[1], 3).astype(int)
+    assert np.abs(got - picture).mean() < 2.5
+
+
+def test_jpeg_codes_runs_and_noise(spark, tmp_path):
+    """Long runs of zeros, large steps and noise: every kind of code."""
+    flat = np.zeros((32, 32, 3), np.uint8)
+    flat[::8, ::8] = 255
+    noise = np.random.default_rng(1).integers(0, 256, (40, 24, 3)).astype(np.uint8)
+    for name, picture in (("flat", flat), ("noise", noise)):
+        (tmp_path / f"{name}.jpg").write_bytes(sinks.jpeg(picture, 100))
+    for row in sinks.read_pictures(spark, str(tmp_path)).collect():
+        picture = flat if row["path"].endswith("flat.jpg") else noise
+        assert np.abs(np.frombuffer(row["data"], np.uint8).reshape(picture.shape).astype(int) - picture).mean() < 2
+
+
+def test_unreadable_files_are_listed(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(sinks.png(smooth(4, 4)))
+    (tmp_path / "b.webp").write_bytes(b"RIFF\x04\0\0\0WEBP")
+    (tmp_path / "c.jpg").write_bytes(b"no picture")
+    (tmp_path / "notes.txt").write_text("x")
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in sinks.unreadable(spark, str(tmp_path)).collect()) == ["b.webp", "c.jpg"]

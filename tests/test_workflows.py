@@ -80,6 +80,12 @@ def test_combine_changes_nothing_if_a_check_fails(spark, classes):
     assert not list((classes / "N").iterdir())
 
 
+def test_combine_stops_on_an_open_conflict(spark, classes):
+    with pytest.raises(ValueError, match="unresolved conflicts: .*a_x.png"):
+        combine(spark, classes)
+    assert not (classes / "P").exists() and not (classes / "N").exists()
+
+
 def test_augment_tree(spark, tmp_path):
     root = tmp_path / "in"
     for k in range(3):
@@ -95,7 +101,7 @@ def test_augment_tree(spark, tmp_path):
     jobs = go(tmp_path / "out")
     assert sorted((r["kind"], r["output"], r["background"] is None) for r in jobs) == [("composite", "0001.jpg", False), ("composite", "0003.jpg", False)] + [("transform", f"000{k}.jpg", True) for k in (1, 2, 3)]
     first = {p.relative_to(tmp_path / "out"): p.read_bytes() for p in (tmp_path / "out").rglob("*.jpg")}
-    assert len(first) == 5
+    assert len(first) == 5 and all(x[:2] == b"\xff\xd8" for x in first.values())
     (tmp_path / "out" / "composite_g" / "0002.jpg").write_bytes(b"stale")
     go(tmp_path / "out")
     assert {p.relative_to(tmp_path / "out"): p.read_bytes() for p in (tmp_path / "out").rglob("*.jpg")} == first
