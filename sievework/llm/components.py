@@ -40,11 +40,11 @@ def connected_components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFram
         e = common.checkpointed(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
 
 
-def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members (key, node, place) of groups that hold several components, with their roots."""
+def still_apart(members: DataFrame, roots: DataFrame, least: int = 2) -> DataFrame:
+    """The members (key, node, place) of groups of so many at least that hold several components, with their roots."""
     named = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
     rooted = members.select("key", "node", "place").join(named, F.col("node") == F.col("__n"), "left").select("key", "node", "place", F.coalesce("__r", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(F.col("n") >= least).where("low <> high").select("key")
     return rooted.join(mixed, "key", "left_semi")
 
 
@@ -95,7 +95,8 @@ def link_groups(early: DataFrame, later: Callable[[DataFrame], DataFrame], verif
     roots = connected_components(found.select("a", "b"))
     k, members = 0, None
     while k <= draws:
-        members = later(roots) if members is None else common.checkpointed(still_apart(members, roots))
+        # in groups of two, all pairs were compared by the first draw
+        members = later(roots) if members is None else common.checkpointed(still_apart(members, roots, 3 if k else 2))
         if members.isEmpty():
             break
         if k < draws:
