@@ -246,6 +246,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed_rows = docs.sparkSession.read.parquet(f"{folder}/signatures")
     wordless = F.col("n") == 0
     same = signed_rows.where(F.col("id").isNotNull()).groupBy(F.when(wordless, 0).otherwise(F.col("h1")).alias("g1"), F.when(wordless, 0).otherwise(F.col("h2")).alias("g2"), wordless.alias("g0")).agg(F.min(F.struct("id", "fp", "n", "keys", *bits)).alias("f"))
+    same, _ = common.stored(same, "firsts")
     firsts = same.where("NOT g0").select("f.*")
     placed = firsts.select(F.col("id").alias("node"), F.explode("keys").alias("key"))
     places = firsts.select(F.col("id").alias("node"), F.struct("fp", "n", *bits).alias("place"))
