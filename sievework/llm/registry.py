@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import audit, bpe, decontamination, language, lines, media, mixing, passages, quality, secrets, simhash, tokens
+from sievework.llm import alignment, audit, bpe, decontamination, language, lines, media, mixing, passages, quality, secrets, simhash, tokens
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_alignment": alignment.op11_alignment,
     "op12_filter_audit": audit.op12_filter_audit,
     "op13_bpe": bpe.op13_bpe,
 }
