@@ -71,7 +71,8 @@ class Vocabulary:
         self.any_word = regex.compile(PATTERN)
         # with letters so new that not all libraries' tables have them, the tokenizer's own cut holds
         newest = newest_letters()
-        self.newest, self.unknown = min(map(ord, newest), default=sys.maxunicode + 1), re.compile(f"[{''.join(map(re.escape, newest))}]" if newest else "(?!)")
+        self.newest = min((a for a, _ in newest), default=sys.maxunicode + 1)
+        self.unknown = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in newest) + "]" if newest else "(?!)")
         self.own_cut = Tokenizer.from_file(path).pre_tokenizer
 
     def words(self, text: str) -> Iterator[str]:
@@ -165,12 +166,14 @@ def vocabulary(name: str) -> Vocabulary:
     return _loaded[name]
 
 
-def newest_letters() -> list[str]:
-    """Letters and numbers that the standard library's tables don't have yet."""
+def newest_letters() -> list[tuple[int, int]]:
+    """Runs of letters and numbers that the standard library's tables don't have yet: first and last code point."""
     import regex
 
     every = "".join(map(chr, itertools.chain(range(0x80, 0xD800), range(0xE000, sys.maxunicode + 1))))
-    return [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    new = np.array([ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"], np.int64)
+    runs = np.split(new, np.flatnonzero(np.diff(new) > 1) + 1) if len(new) else []
+    return [(int(r[0]), int(r[-1])) for r in runs]
 
 
 class Encoder:
