@@ -1,12 +1,17 @@
 """Alignment of two tokenizers' tokens by the bytes that they cover.
 
-Python tokenises, and tells each token's id and the byte at which it ends. All else are higher-order functions over these
-arrays: ends that both tokenizers have cut a text into groups, and all tokens of a group are linked with one another.
+Python tokenises: a slice of documents becomes a row with the tokens of its distinct segments, their ids and the bytes at
+which they end, and with each document's segments by number. Segments are cut where both tokenizers begin anew whatever
+follows, before a space after a sign. All else are higher-order functions: ends that both tokenizers have cut a segment into
+groups, all tokens of a group are linked with one another, and a document's groups and links are those of its segments.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +21,16 @@ from pyspark.sql import functions as F
 from sievework.llm import bpe, common
 from sievework.llm.tokens import MARK, model_path, pre_tokens
 
-#: Pre-tokens that are cached at once, characters of a cached one, and characters of a text that are cut up at once.
-CACHE_ENTRIES, ENTRY_CHARS, BLOCK_CHARS = 1 << 19, 48, 1 << 20
+#: Words and segments that are cached at once, characters of a cached one, and characters of a slice of documents.
+CACHE_ENTRIES, ENTRY_CHARS, SLICE_CHARS = 1 << 18, 48, 1 << 21
 #: Pairs of ids whose counts are broadcast, the most frequent ones; all others are joined by a shuffle.
 FREQUENT_PAIRS = 1 << 18
 #: A pair of ids as one number: the first one's id times this, and the second one's.
 PAIR = 1 << 32
-RUN_START = re.compile(r"(?<! ) ")
+#: A space after white space, and where segments are cut if there is one.
+SPACED, CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
+#: Ends are sought one by one in so short a segment; groups of more links than this don't have them in an array.
+SHORT, WIDE = 32, 1 << 20
 
 
 def packed(ids: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -61,30 +69,43 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed pieces of each text; empty where the pieces' bytes aren't those of a space and the text."""
-        out, words = [b""] * len(texts), {}
-        for k, text in enumerate(texts):
-            if MARK in text or not text:
-                continue
-            if len(text) <= BLOCK_CHARS:
-                words[k] = pre_tokens(text)
-                continue
-            parts, start = [], 0
-            while start < len(text):
-                cut = RUN_START.search(text, start + BLOCK_CHARS)
-                end = cut.start() if cut else len(text)
-                own = pre_tokens(text[start + (start > 0) : end]) or [""]
-                parts += map(self.learn(own).__getitem__, own)
-                start = end
-            out[k] = b"".join(parts) if all(parts) else b""
-        held = self.learn([w for own in words.values() for w in own])
-        for k, own in words.items():
+        words = [pre_tokens(t) or [""] for t in texts]
+        held, out = self.learn([w for own in words for w in own]), []
+        for text, own in zip(texts, words, strict=True):
             parts = list(map(held.__getitem__, own))
-            out[k] = b"".join(parts) if not self.differ or all(parts) else b""
-        for w in [w for own in words.values() for w in own if len(w) > ENTRY_CHARS]:
+            out.append(b"" if MARK in text or (self.differ and not all(parts)) else b"".join(parts))
+        for w in [w for own in words for w in own if len(w) > ENTRY_CHARS]:
             held.pop(w, None)
         return out
 
 
+def segments(text: str) -> list[str]:
+    """A space and the text, cut before each space that follows anything but white space."""
+    text = f" {text}"
+    return CUT.split(text) if SPACED.search(text) else [f" {part}" for part in text[1:].split(" ")]
+
+
+class Segments:
+    """Segments to their tokens of both kinds, packed, behind a bounded cache; None where the bytes differ."""
+
+    def __init__(self, a_name: str, b_name: str):
+        words = bpe.vocabulary(a_name)
+        sizes = np.array([len(b) for b in words.bytes])
+        self.a, self.b = bpe.Encoder(words, lambda ids: packed(ids, sizes)), Pieces(b_name)
+        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def tokens(self, distinct: list[str]) -> list[tuple[bytes, bytes] | None]:
+        missing = [x for x in distinct if x not in self.cache]
+        if len(self.cache) + len(missing) > CACHE_ENTRIES:
+            self.cache, missing = {}, distinct
+        pieces = self.b.encode([x[1:] for x in missing])
+        self.cache.update((x, (a, b) if b else None) for x, a, b in zip(missing, self.a.encode(missing, specials=False), pieces, strict=True))
+        found = [self.cache[x] for x in distinct]
+        for x in [x for x in missing if len(x) > ENTRY_CHARS]:
+            del self.cache[x]
+        return found
+
+
 def lists(packs: list[bytes]) -> list[pa.Array]:
     """Lists of ids and of ends, from packed ids and sizes."""
     flat = np.frombuffer(b"".join(packs), "<i4").reshape(-1, 2)
@@ -95,67 +116,116 @@ def lists(packs: list[bytes]) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (flat[:, 0], ends[1:] - starts)]
 
 
-def tokenised(docs: DataFrame, a_name: str = "byte_bpe_50k.json", b_name: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns named in keep, and a_ids, a_ends, b_ids and b_ends of each text: the tokens and the bytes they end at.
-
-    A takes a space and the text, B the text, before which it puts a space itself; strings of special tokens are plain
-    text. A null or an empty text has no tokens, and so has one whose tokens' bytes differ between the two. Repeated rows
-    are tokenised each; a table without rows gives none. Texts of any length are tokenised whole; other columns are
-    ignored, whatever their names.
-    """
+def tokenised(docs: DataFrame, a_name: str, b_name: str, id_col: str, text_col: str) -> DataFrame:
+    """words and docs: a row for a slice of documents. words: a_ids, a_ends, b_ids and b_ends of its distinct segments;
+    docs: id, n_a, n_b and segments (places in words) of its documents."""
     state: dict = {}
+    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = frame.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for start, end in common.slices(texts, SLICE_CHARS):
+                if not state:
+                    state["segments"] = Segments(a_name, b_name)
+                cut = [segments(t) if t else [] for t in texts[start:end]]
+                place = {x: k for k, x in enumerate(dict.fromkeys(itertools.chain.from_iterable(cut)))}
+                found = state["segments"].tokens(list(place))
+                differ = {x for x, t in zip(place, found, strict=True) if t is None}
+                if differ:
+                    cut = [[] if not differ.isdisjoint(own) else own for own in cut]
+                found = [t or (b"", b"") for t in found]
+                sizes = np.array([(len(a) // 8, len(b) // 8) for a, b in found], np.int64).reshape(-1, 2)
+                own = [np.fromiter(map(place.__getitem__, c), np.int32, len(c)) for c in cut]
+                counts = np.array([sizes[o].sum(axis=0) for o in own]).reshape(-1, 2)
+                words = pa.StructArray.from_arrays([*lists([f[0] for f in found]), *lists([f[1] for f in found])], names=["a_ids", "a_ends", "b_ids", "b_ends"])
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(o) for o in own])]), pa.int32())
+                told = pa.StructArray.from_arrays([batch.column(0).slice(start, end - start), pa.array(counts[:, 0]), pa.array(counts[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(own)))], names=["id", "n_a", "n_b", "segments"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words, told)], names=["words", "docs"])
+
+    ids = "a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>"
+    return frame.mapInArrow(run, f"words array<struct<{ids}>>, docs array<struct<id:{kind},n_a:bigint,n_b:bigint,segments:array<int>>>")
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def run(texts):
-        if not state:
-            words = bpe.vocabulary(a_name)
-            sizes = np.array([len(b) for b in words.bytes])
-            state.update(a=bpe.Encoder(words, lambda ids: packed(ids, sizes)), b=Pieces(b_name))
-        b = state["b"].encode([t or "" for t in texts])
-        a = state["a"].encode([f" {t}" if own else "" for t, own in zip(texts, b, strict=True)], specials=False)
-        return [*lists(a), *lists(b)]
 
-    return common.map_text(docs, id_col, text_col, run, "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>", keep)
+def cover(ends: Column) -> Column:
+    """For each byte the place, from 0, of the token that covers it; null for a short segment."""
+    every = F.flatten(F.transform(ends, lambda e, k: F.array_repeat(k, e - F.coalesce(F.get(ends, k - 1), F.lit(0)))))
+    return F.when(F.size(ends) > SHORT, every)
 
 
-def cover(ends: Column) -> Column:
-    """For each byte the place, from 0, of the token that covers it."""
-    return F.flatten(F.transform(ends, lambda e, k: F.array_repeat(k, e - F.coalesce(F.get(ends, k - 1), F.lit(0)))))
+def groups_of(w: Column) -> Column:
+    """The groups of a segment: the ids of both sides (a, b) between two neighbouring bytes at which tokens of both end."""
+
+    def side(ids: Column, ends: Column, at: Column, start: Column, end: Column) -> Column:
+        """The ids of the tokens from one end to another."""
+        last = F.when(at.isNull(), F.array_position(ends, end)).otherwise(F.get(at, end - 1) + 1)
+        before = F.when(start == 0, 0).when(at.isNull(), F.array_position(ends, start)).otherwise(F.get(at, start - 1) + 1)
+        return named(before.cast("int"), lambda b: F.slice(ids, b + 1, last.cast("int") - b))
 
+    def group(cut: Column) -> Callable[[Column, Column], Column]:
+        def one(end: Column, k: Column) -> Column:
+            start = F.coalesce(F.get(cut["ends"], k - 1), F.lit(0))
+            return F.struct(side(w["a_ids"], w["a_ends"], cut["a"], start, end).alias("a"), side(w["b_ids"], w["b_ends"], cut["b"], start, end).alias("b"))
 
-def grouped(tokens: DataFrame) -> DataFrame:
-    """tokens with groups: the ids of both sides (a, b) between two neighbouring bytes at which tokens of both end."""
-    cut = tokens.withColumns({"__bounds": F.array_intersect("a_ends", "b_ends"), "__a": cover(F.col("a_ends")), "__b": cover(F.col("b_ends"))})
+        return one
 
-    def side(ids: str, at: str, start: Column, end: Column) -> Column:
-        first = F.get(at, start)
-        return F.slice(ids, first + 1, F.get(at, end - 1) - first + 1)
+    cut = F.struct(F.array_intersect(w["a_ends"], w["b_ends"]).alias("ends"), cover(w["a_ends"]).alias("a"), cover(w["b_ends"]).alias("b"))
+    whole = F.array(F.struct(w["a_ids"].alias("a"), w["b_ids"].alias("b")))
+    return F.when((F.size(w["a_ids"]) == 1) | (F.size(w["b_ids"]) == 1), whole).otherwise(named(cut, lambda c: F.transform(c["ends"], group(c))))
 
-    def group(end: Column, k: Column) -> Column:
-        start = F.coalesce(F.get("__bounds", k - 1), F.lit(0))
-        return F.struct(side("a_ids", "__a", start, end).alias("a"), side("b_ids", "__b", start, end).alias("b"))
 
-    return cut.withColumn("groups", F.transform("__bounds", group)).drop("__bounds", "__a", "__b")
+def n_pairs(g: Column) -> Column:
+    return F.size(g["a"]).cast("long") * F.size(g["b"])
 
 
-def links(groups: Column) -> Column:
-    """All pairs of a token of a and one of b in a group, group by group, as numbers."""
-    n = lambda g: F.size(g["b"])
+def links_of(groups: Column) -> Column:
+    """All pairs of a token of a and one of b in a group, group by group, as numbers; without wide groups."""
 
     def pairs(g: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(g["a"]) * n(g) - 1)
-        return F.transform(places, lambda k: F.get(g["a"], F.floor(k / n(g)).cast("int")).cast("long") * PAIR + F.get(g["b"], k % n(g)))
+        n = F.size(g["b"])
+        each = F.transform(F.sequence(F.lit(0), F.size(g["a"]) * n - 1), lambda k: F.get(g["a"], F.floor(k / n).cast("int")).cast("long") * PAIR + F.get(g["b"], k % n))
+        one = F.transform(g["a"], lambda a: a.cast("long") * PAIR + F.get(g["b"], F.lit(0)))
+        return F.when(n_pairs(g) > WIDE, F.array().cast("array<bigint>")).when(n == 1, one).otherwise(each)
 
     return F.flatten(F.transform(groups, pairs))
 
 
-def digest(groups: Column) -> Column:
-    """SHA-256 of the groups as `a1,a2|b1;a3|b2,b3`; empty where there are none."""
-    listed = F.transform(groups, lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ",")))
-    return F.when(F.size(groups) == 0, "").otherwise(F.sha2(F.array_join(listed, ";").cast("binary"), 256))
+def text_of(groups: Column) -> Column:
+    """Groups as `a1,a2|b1;a3|b2,b3`."""
+    return F.array_join(F.transform(groups, lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))), ";")
+
+
+def aligned(docs: DataFrame, a_name: str = "byte_bpe_50k.json", b_name: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_a, n_b, groups (ids as `a1,a2|b1;a3|b2,b3`), links (pairs of ids as numbers) and wide of each text.
+
+    A takes a space and the text, B the text, before which it puts a space itself; strings of special tokens are plain
+    text. A null or an empty text has no tokens, and so has one whose tokens' bytes differ between the two: nothing of it
+    is linked. Groups of a great many links aren't in links but stand in wide, as they are. Repeated rows are aligned
+    each; a table without rows gives none. Texts of any length are aligned whole, each by one task; other columns are
+    ignored, whatever their names.
+    """
+    slices = tokenised(docs, a_name, b_name, id_col, text_col)
+    grouped = slices.select("docs", F.explode(F.array(F.transform("words", groups_of))).alias("groups"))  # explode: worked out once, before it is used
+    told = F.struct(F.transform("groups", links_of).alias("links"), F.transform("groups", text_of).alias("text"), F.transform("groups", lambda g: F.filter(g, lambda x: n_pairs(x) > WIDE)).alias("wide"))
+    by_word = grouped.select("docs", F.explode(F.array(told)).alias("w"))
+    by_word = by_word.select("docs", F.col("w.links").alias("links"), F.col("w.text").alias("text"), F.col("w.wide").alias("wide"), F.exists("w.wide", lambda x: F.size(x) > 0).alias("any_wide"))
+
+    def of(d: Column, column: str) -> Column:
+        return F.transform(d["segments"], lambda k: F.get(F.col(column), k))
+
+    def document(d: Column) -> Column:
+        wide = F.when(F.col("any_wide"), F.flatten(of(d, "wide"))).otherwise(F.array().cast("array<struct<a:array<int>,b:array<int>>>"))
+        return F.struct(d["id"].alias("id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.array_join(of(d, "text"), ";").alias("groups"), F.flatten(of(d, "links")).alias("links"), wide.alias("wide"))
+
+    return by_word.select(F.explode(F.transform("docs", document)).alias("d")).select(F.col("d.id").alias(id_col), "d.n_a", "d.n_b", "d.groups", "d.links", "d.wide")
 
 
-#: Documents of more links than this have them made row by row instead of in one array.
-ARRAY_LINKS = 1 << 22
 #: Steps of the logarithm in which pairs are counted by their frequency.
 STEPS = 8
 
@@ -163,15 +233,14 @@ STEPS = 8
 def linked(rows: DataFrame, distinct: bool) -> DataFrame:
     """__row, pair and n of the aligned rows' links: how often a document holds a pair; distinct: each pair of a document once.
 
-    Links of most documents are made as one array; those of documents with a great many are made group by group and
-    token by token, so that no task holds them at once. Both give the same pairs, in as many rows as they please.
+    Links of most documents are one array; wide groups' links are made token by token, so that no task holds them at once.
     """
-    few, many = rows.where(F.col("n_links") <= ARRAY_LINKS), rows.where(F.col("n_links") > ARRAY_LINKS)
-    every = links(F.col("groups"))
-    short = few.select("__row", F.explode(F.array_distinct(every) if distinct else every).alias("pair"), F.lit(1).cast("long").alias("n"))
-    long = many.select("__row", F.explode("groups").alias("g")).select("__row", F.explode("g.a").alias("a"), F.col("g.b").alias("bs"))
-    long = long.select("__row", (F.col("a").cast("long") * PAIR).alias("a"), F.explode("bs").alias("b"))
-    return short.unionByName(long.groupBy("__row", (F.col("a") + F.col("b")).alias("pair")).agg(F.count("*").alias("n")))
+    few, many = rows.where("NOT is_wide"), rows.where("is_wide")
+    short = few.select("__row", F.explode(F.array_distinct("links") if distinct else F.col("links")).alias("pair"), F.lit(1).cast("long").alias("n"))
+    wide = many.select("__row", F.explode("wide").alias("g")).select("__row", F.explode("g.a").alias("a"), F.col("g.b").alias("bs"))
+    wide = wide.select("__row", (F.col("a").cast("long") * PAIR).alias("a"), F.explode("bs").alias("b")).select("__row", (F.col("a") + F.col("b")).alias("pair"))
+    both = wide.unionByName(many.select("__row", F.explode("links").alias("pair")))
+    return short.unionByName(both.groupBy("__row", "pair").agg(F.count("*").alias("n")))
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -202,27 +271,33 @@ def frequent(pairs: DataFrame, most: int = FREQUENT_PAIRS) -> DataFrame:
 
 
 def align(docs: DataFrame, a_name: str = "byte_bpe_50k.json", b_name: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", most: int = FREQUENT_PAIRS) -> DataFrame:
-    """id, n_a, n_b, groups (of ids a and b), n_groups, n_links, n_best and count_sum of each text; see tokenised.
+    """id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each text; see aligned.
 
     A link is a pair of tokens in one group. The count of its pair of ids is the number of rows of docs that hold it
     linked; n_best counts links of which no other pair of the same first id has a larger count, and count_sum adds their
-    counts. Texts without tokens have no groups and zeros. Repeated rows are documents of their own.
+    counts. groups_sha256 is that of the groups' text. Texts without tokens have zeros and an empty digest. Repeated rows
+    are documents of their own, ties all count as best.
 
     Frequent pairs meet most links, and so are looked up in a broadcast table of bounded size; only links of the others
     are dealt out by pair, after a sum over each document.
     """
     spark = docs.sparkSession
-    tokens = tokenised(docs, a_name, b_name, id_col, text_col)
-    told = grouped(tokens).select(
+    none = F.col("groups") == ""
+    told = aligned(docs, a_name, b_name, id_col, text_col).select(
         F.monotonically_increasing_id().alias("__row"),
         F.col(id_col).alias("__id"),
-        F.size("a_ids").cast("long").alias("n_a"),
-        F.size("b_ids").cast("long").alias("n_b"),
-        "groups",
-        F.size("groups").cast("long").alias("n_groups"),
-        F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + F.size(g["a"]).cast("long") * F.size(g["b"])).alias("n_links"),
+        "n_a",
+        "n_b",
+        F.when(none, 0).otherwise(F.octet_length("groups") - F.octet_length(F.replace("groups", F.lit(";"), F.lit(""))) + 1).cast("long").alias("n_groups"),
+        (F.size("links") + F.aggregate("wide", F.lit(0).cast("long"), lambda s, g: s + n_pairs(g))).cast("long").alias("n_links"),
+        F.when(none, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256"),
+        (F.size("wide") > 0).alias("is_wide"),
+        "links",
+        "wide",
     )
-    rows, _ = common.stored(told, "aligned")  # the result reads it
+    folder = f"{common.shared_folder(spark)}/aligned-{uuid.uuid4().hex}"
+    told.write.option("compression", "zstd").parquet(folder)
+    rows = spark.read.parquet(folder)  # the result reads it
     pairs = counted(rows)
     top = F.broadcast(frequent(pairs, most))
     found = linked(rows, distinct=False).join(top, "pair", "left")
@@ -234,9 +309,8 @@ def align(docs: DataFrame, a_name: str = "byte_bpe_50k.json", b_name: str = "pie
     done = common.checkpointed(total)
     common.delete_folder(spark, folder)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.join(done, "__row", "left").select(F.col("__id").alias(id_col), "n_a", "n_b", "groups", "n_groups", "n_links", zero("n_best"), zero("count_sum"))
+    return rows.join(done, "__row", "left").select(F.col("__id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
 
 
 def op11_alignment(spark, sf_dir):
-    aligned = align(common.read(spark, sf_dir, "documents"))
-    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest(F.col("groups")).alias("groups_sha256"))
+    return align(common.read(spark, sf_dir, "documents"))
