@@ -6,16 +6,17 @@ Both check first, then plan in DataFrames, and write last; folders must be share
 from __future__ import annotations
 
 import os
+import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import names
 from sievework.operators import augment, mask_cache, selection, visual
 from sievework.operators.iteration import checkpointed
-from sievework.sources import manifest, sinks
+from sievework.sources import commit, manifest, sinks, tree
 
 #: The classes, in the order in which they are numbered, and the seed of manifest samples.
 CLASSES = ("P", "N")
@@ -24,11 +25,6 @@ SEED = selection.SEED
 CROP_QUALITY, AUGMENT_QUALITY = 95, 92
 
 
-def local(path: Column) -> Column:
-    """Paths of local files without a scheme, so that listings and pictures agree."""
-    return F.regexp_replace(path, "^file:/+", "/")
-
-
 def square(data: bytes, w: int, h: int, channels: int) -> np.ndarray:
     """The centred square of a picture, as RGB."""
     picture = np.frombuffer(data, np.uint8).reshape(h, w, channels)
@@ -47,44 +43,67 @@ def small(picture: np.ndarray) -> tuple[bytes, list[int]]:
 def gathered(spark: SparkSession, root: str, source: str, manifest_path: str | None) -> DataFrame:
     """phase, grp (below root), leaf, name and path of what a class takes: all groups of source, then the manifest's samples.
 
-    Raises ValueError with the first error of the manifest; a manifest that isn't there names no sources.
+    Raises ValueError with the first error of the manifest; a manifest that isn't there names no sources. Only folders
+    that are named are listed.
     """
-    groups = manifest.list_assets(spark, source).select(F.lit(0).alias("phase"), F.concat(F.lit(f"{os.path.relpath(source, root)}/"), "grp").alias("grp"), F.col("grp").alias("leaf"), "name", local(F.col("path")).alias("path"))
+    groups = tree.listing(spark, source).select(F.lit(0).alias("phase"), F.concat(F.lit(f"{os.path.relpath(source, root)}/"), "grp").alias("grp"), F.col("grp").alias("leaf"), "name", "path")
     if manifest_path is None or not os.path.isfile(manifest_path):
         return groups
-    below = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(names.relative(local(F.col("path")), os.path.abspath(root)).alias("rel"), local(F.col("path")).alias("path"))
-    files = below.select("path", F.regexp_replace("rel", "/[^/]+$", "").alias("grp"), F.regexp_extract("rel", "([^/]+)$", 1).alias("name")).where(names.is_image(F.col("name")))
     entries = manifest.read_manifest(spark, manifest_path)
-    wrong = manifest.first_manifest_error(entries, files.groupBy(F.col("grp").alias("path")).agg(F.count("*").alias("available"))).first()
+    wanted = entries.select(manifest.clean_path(F.col("path")).alias("grp"), "count").where("grp IS NOT NULL")
+    named = sorted({r["grp"] for r in wanted.collect() if r["grp"] and ".." not in r["grp"].split("/")})  # a row for each entry of a file that people write
+    inside = [f for f in named if tree.inside(os.path.join(root, f), root)]
+    files = tree.listing(spark, root, folders=inside, empty=True)
+    told = spark.createDataFrame([(f, os.path.realpath(os.path.join(root, f)), f in set(inside)) for f in named if os.path.isdir(os.path.join(root, f))], "path string, real string, inside boolean")
+    counts = files.groupBy(F.col("grp").alias("path")).agg(F.count("name").alias("available"))
+    wrong = manifest.first_manifest_error(entries, told.join(counts, "path", "left").fillna(0, ["available"])).first()
     if wrong:
         raise ValueError(f"{manifest_path}: source {wrong['idx']} ({wrong['path']}): {wrong['error']}")
-    wanted = entries.select(manifest.clean_path(F.col("path")).alias("grp"), "count")
-    chosen = selection.top_by_hash(files.join(wanted, "grp"), F.col("count"), ["grp"], names.seeded_key(SEED, F.col("grp"), F.col("name")), ["name"])
+    chosen = selection.top_by_hash(files.where("name IS NOT NULL").join(wanted, "grp"), F.col("count"), ["grp"], names.seeded_key(SEED, F.col("grp"), F.col("name")), ["name"])
     return groups.unionByName(chosen.select(F.lit(1).alias("phase"), "grp", F.regexp_extract("grp", "([^/]+)$", 1).alias("leaf"), "name", "path"))
 
 
-def prepared(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
-    """rows with output names, content, cropped, and what duplicates are found by; undecodable pictures are dropped before naming.
+def prepared(rows: DataFrame, pictures: DataFrame) -> DataFrame:
+    """side, path, output, cropped, pixels and rgb of rows: output names, and what duplicates are found by.
 
-    Square pictures keep their bytes; others are cropped and encoded as JPEG, if they are named so, or as PNG.
+    Rows without a picture are dropped before naming.
     """
-    pictures = sinks.read_pictures(spark, root).withColumn("path", local(F.col("path")))
-    joined = rows.join(pictures, "path").withColumn("wanted", names.prefixed(F.col("leaf"), F.col("name")))
+    joined = rows.join(pictures.select("path"), "path").withColumn("wanted", names.prefixed(F.col("leaf"), F.col("name")))
     rank = F.concat_ws("/", F.col("phase").cast("string"), F.lower("grp"), F.lower("name"), "name")
-    named = selection.unique_names(joined.select("side", "path", "wanted", rank.alias("rank")), "side", "rank", "wanted").select("side", "path", "rank", F.col("unique").alias("output"))
-    original = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(local(F.col("path")).alias("path"), "content")
+    named = selection.unique_names(joined.select("side", "path", "wanted", rank.alias("rank")), "side", "rank", "wanted").select("side", "path", F.col("unique").alias("output"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                grey, rgb = small(square(r.data, r.width, r.height, r.channels))
+                out.append((r.side, r.path, r.output, r.width != r.height, grey, rgb))
+            yield pd.DataFrame(out, columns=["side", "path", "output", "cropped", "pixels", "rgb"])
+
+    return named.join(pictures, "path").mapInPandas(run, "side string, path string, output string, cropped boolean, pixels binary, rgb array<int>")
+
+
+def contents(rows: DataFrame, pictures: DataFrame) -> DataFrame:
+    """grp, name and content of rows (grp, name, path, cropped): the files' own bytes, or, cropped, their squares in the same format.
+
+    Pictures come along only where they are cropped; content is null for a file that is gone.
+    """
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                picture = square(r.data, r.width, r.height, r.channels)
-                grey, rgb = small(picture)
-                out.append((r.side, r.path, r.output, r.width != r.height, r.content if r.width == r.height else sinks.encoded(picture, r.path, CROP_QUALITY), grey, rgb))
-            yield pd.DataFrame(out, columns=["side", "path", "output", "cropped", "content", "pixels", "rgb"])
+                try:
+                    with open(r.path, "rb") as file:
+                        own = file.read() if not r.cropped else file.read(16)
+                    out.append((r.grp, r.name, own if not r.cropped else sinks.like(square(r.data, int(r.width), int(r.height), int(r.channels)), own, CROP_QUALITY)))
+                except FileNotFoundError:
+                    out.append((r.grp, r.name, None))
+            yield pd.DataFrame(out, columns=["grp", "name", "content"])
 
-    both = named.join(pictures, "path").join(original, "path").select("side", "path", "output", "width", "height", "channels", "data", "content")
-    return both.mapInPandas(run, "side string, path string, output string, cropped boolean, content binary, pixels binary, rgb array<int>")
+    whole = rows.where("NOT cropped").select("grp", "name", "path", "cropped", *[F.lit(None).cast(k).alias(c) for c, k in pictures.dtypes if c != "path"])
+    cut = rows.where("cropped").join(pictures, "path").select(*whole.columns)
+    return whole.unionByName(cut).mapInPandas(run, "grp string, name string, content binary")
 
 
 def duplicates(rows: DataFrame, choices: DataFrame | None = None, default: str | None = None) -> DataFrame:
@@ -123,54 +142,61 @@ def duplicates(rows: DataFrame, choices: DataFrame | None = None, default: str |
     return full.select("side", "output", action.alias("action"))
 
 
-def written(spark: SparkSession, folder: str, rows: DataFrame) -> int:
-    """Writes rows (name, content) into a guarded folder and deletes what is there besides; the number written."""
-    done = checkpointed(sinks.write_files(rows, folder))
-    existing = sinks.list_folder(spark, folder).select("name")
-    stale = sinks.sync_actions(existing, done.where("written").select("name"), ["name"]).where("action = 'delete'")
-    for row in stale.toLocalIterator():
-        sinks.delete_file(os.path.join(folder, row["name"]), {os.path.abspath(folder)})
-    return done.where("written").count()
-
-
-def combine(spark: SparkSession, root: str, sources: dict[str, str], outputs: dict[str, str], manifests: dict[str, str] | None = None, choices: DataFrame | None = None, default: str | None = None) -> DataFrame:
+def combine(spark: SparkSession, root: str, sources: dict[str, str], outputs: dict[str, str], manifests: dict[str, str] | None = None, choices: DataFrame | None = None, default: str | None = None, counts: dict | None = None) -> DataFrame:
     """Fills a folder for each class (P, N) from its source tree and manifest, squared and without near duplicates.
 
-    Returns side, path, output, cropped and action of every decodable picture (sinks.unreadable() lists the others); those
-    of `keep` are written. Everything is checked before any folder changes: ValueError for a source that isn't there, a
-    bad manifest, an output folder with other content than pictures, or a conflict between the classes that neither
-    choices nor the default resolve.
+    Returns side, path, output, cropped and action of every decodable picture; those of `keep` are written. Files that
+    can't be decoded are told by a warning. counts, if given, gets what was done, by success: unreadable, non_square (of
+    those kept), and, for each output folder's parent, written, removed and failed. Everything is checked before any
+    folder changes: ValueError for a source that isn't there, a bad manifest, an output folder with other content than
+    pictures, or a conflict between the classes that neither choices nor the default resolve. Each file is decoded once;
+    folders are replaced in two phases, see sources.commit.
     """
     for side in CLASSES:
         if not os.path.isdir(sources[side]):
             raise ValueError(f"no source folder: {sources[side]}")
     taken = [gathered(spark, root, sources[side], (manifests or {}).get(side)).withColumn("side", F.lit(side)) for side in CLASSES]
+    places = {side: os.path.split(os.path.abspath(outputs[side])) for side in CLASSES}
     for side in CLASSES:
-        sinks.checked(spark, outputs[side])
-    ready = checkpointed(prepared(spark, root, taken[0].unionByName(taken[1])))
+        commit.check(spark, places[side][0], [places[side][1]])
+    rows = checkpointed(taken[0].unionByName(taken[1]))
+    pictures = tree.decoded(rows)
+    skipped = checkpointed(tree.unreadable(rows, pictures))
+    n_skipped = skipped.count()
+    if n_skipped:
+        some = ", ".join(r["path"] for r in skipped.orderBy("path").limit(5).collect())
+        warnings.warn(f"{n_skipped} files can't be read: {some}", stacklevel=2)
+    ready = checkpointed(prepared(rows, pictures))
     plan = checkpointed(ready.select("side", "path", "output", "cropped").join(duplicates(ready, choices, default), ["side", "output"]))
     open_ones = [r["output"] for r in plan.where("action = 'unresolved'").orderBy("output").limit(5).collect()]
     if open_ones:
         raise ValueError(f"unresolved conflicts: {', '.join(open_ones)}")
-    for side in CLASSES:
-        sinks.guarded(spark, outputs[side])
-        good = plan.where((F.col("side") == side) & (F.col("action") == "keep")).select("side", "output")
-        written(spark, outputs[side], ready.join(good, ["side", "output"], "left_semi").select(F.col("output").alias("name"), "content"))
+    kept = plan.where("action = 'keep'")
+    told = {"unreadable": n_skipped, "non_square": kept.where("cropped").count()}
+    grp = F.create_map(*[F.lit(x) for side in CLASSES for x in (side, places[side][1])])[F.col("side")]
+    for parent in sorted({places[side][0] for side in CLASSES}):
+        here = [side for side in CLASSES if places[side][0] == parent]
+        own = kept.where(F.col("side").isin(here)).select(grp.alias("grp"), F.col("output").alias("name"), "path", "cropped")
+        told[parent] = commit.replace_folders(contents(own, pictures), parent, [places[side][1] for side in here])[1]
+    if counts is not None:
+        counts.update(told)
     return plan
 
 
-def augment_tree(spark: SparkSession, root: str, transforms: str, composites: str, backgrounds: str, output: str, exclusions: str | None = None, plain: str = "plain", total: int = selection.TRANSFORM_COUNT, size: int = augment.SIZE, cache: str | None = None) -> DataFrame:
+def augment_tree(spark: SparkSession, root: str, transforms: str, composites: str, backgrounds: str, output: str, exclusions: str | None = None, plain: str = "plain", total: int = selection.TRANSFORM_COUNT, size: int = augment.SIZE, cache: str | None = None, counts: dict | None = None) -> DataFrame:
     """Augments a stratified sample of `transforms` and all of `composites`, each on a background, into output/kind_group.
 
     The four folders hold groups and lie below root. Returns kind, grp, path, number, output and background. Excluded
     pictures leave gaps in the numbers and keep their backgrounds. Files are JPEG, named `0001.jpg` and so on.
-    With a cache folder, masks of unchanged pictures come from there, and new ones are added.
+    With a cache folder, masks of unchanged pictures come from there, and new ones are added. Only pictures that are used
+    are read, and each is decoded once; all folders are replaced together, in two phases (sources.commit). counts, if
+    given, gets the numbers of files written, removed and failed.
     ValueError: an empty tree, unknown exclusions, too few backgrounds, foreign content, or a picture without a subject.
     """
 
     def assets(folder: str) -> DataFrame:
-        found = manifest.list_assets(spark, folder, names.AUGMENT_SUFFIXES)
-        rows = found.select("grp", "name", local(F.col("path")).alias("path")).withColumn("relpath", names.relative(F.col("path"), os.path.abspath(root)))
+        found = tree.listing(spark, folder, suffixes=names.AUGMENT_SUFFIXES)
+        rows = found.select("grp", "name", "path", "length", "modified").withColumn("relpath", names.relative(F.col("path"), os.path.abspath(root)))
         if rows.isEmpty():
             raise ValueError(f"no pictures: {folder}")
         return rows
@@ -188,24 +214,20 @@ def augment_tree(spark: SparkSession, root: str, transforms: str, composites: st
     if not composed.where("background IS NULL").isEmpty():
         raise ValueError("too few backgrounds")
     jobs = selection.numbered(sample, lines).withColumns({"kind": F.lit("transform"), "background": F.lit(None).cast("string")})
-    columns = ["kind", "grp", "path", "relpath", "number", "output", "background"]
+    columns = ["kind", "grp", "path", "relpath", "length", "modified", "number", "output", "background"]
     jobs = checkpointed(jobs.select(*columns).unionByName(selection.numbered(composed, lines).withColumn("kind", F.lit("composite")).select(*columns)))
-    folders = [(r["kind"], r["grp"]) for r in jobs.select("kind", "grp").distinct().collect()]  # a row for each group
-    for check in (sinks.checked, sinks.guarded):
-        for kind, grp in folders:
-            check(spark, os.path.join(output, f"{kind}_{grp}"), numbered=True)
+    folders = [f"{r['kind']}_{r['grp']}" for r in jobs.select("kind", "grp").distinct().collect()]  # a row for each group
+    commit.check(spark, output, folders, numbered=True)
 
-    form = F.array("height", "width", "channels")
-    pictures = sinks.read_pictures(spark, root).select(local(F.col("path")).alias("path"), form.alias("shape"), F.col("data").alias("picture"))
+    used = jobs.select("path").unionByName(jobs.where("background IS NOT NULL").select(F.col("background").alias("path")))
+    pictures = tree.decoded(used).select("path", F.array("height", "width", "channels").alias("shape"), F.col("data").alias("picture"))
     scenes = pictures.select(F.col("path").alias("background"), F.col("shape").alias("scene_shape"), F.col("picture").alias("scene"))
     held = jobs.join(pictures, "path", "left").join(scenes, "background", "left")
 
     if cache is None:
         held = held.withColumn("mask", F.lit(None).cast("binary"))
     else:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        signed = files.select(local(F.col("path")).alias("path"), mask_cache.signature(F.col("length"), F.col("modificationTime")).alias("signature"))
-        subjects = jobs.join(pictures, "path").join(signed, "path").select("kind", "relpath", "signature", "shape", "picture")
+        subjects = jobs.join(pictures, "path").select("kind", "relpath", mask_cache.signature(F.col("length"), F.col("modified")).alias("signature"), "shape", "picture")
         held = held.join(mask_cache.subject_masks(subjects, cache), ["kind", "relpath"], "left")
 
     def run(batches):
@@ -229,7 +251,8 @@ def augment_tree(spark: SparkSession, root: str, transforms: str, composites: st
     bad = [r["relpath"] for r in made.where("content IS NULL").select("relpath").limit(1).collect()]
     if bad:
         raise ValueError(f"no subject: {bad[0]}")
-    for kind, grp in folders:
-        rows = made.where((F.col("kind") == kind) & (F.col("grp") == grp)).select(F.col("output").alias("name"), "content")
-        written(spark, os.path.join(output, f"{kind}_{grp}"), rows)
-    return jobs
+    rows = made.select(F.concat_ws("_", "kind", "grp").alias("grp"), F.col("output").alias("name"), "content")
+    told = commit.replace_folders(rows, output, folders, numbered=True)[1]
+    if counts is not None:
+        counts.update(told)
+    return jobs.drop("length", "modified")

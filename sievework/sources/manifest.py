@@ -65,19 +65,23 @@ def clean_path(path: Column) -> Column:
 def manifest_errors(entries: DataFrame, folders: DataFrame) -> DataFrame:
     """(idx, path, error) of entries (idx, path, count, is_object) that break a rule, against folders (path, available).
 
+    folders may tell where links lead: real, the folder that a path stands for, and inside, whether that is below the root.
     Rules are tried in this order, and the first broken one is told: not an object, path missing or blank, count not a
     positive integer, absolute path, path outside the root, no such folder, folder named before (without regard to
     case), more wanted than available.
     """
     clean = clean_path(F.col("path"))
-    known = entries.withColumn("clean", clean).join(folders.select(F.col("path").alias("clean"), "available"), "clean", "left")
-    earlier = F.row_number().over(W.partitionBy(F.lower("clean")).orderBy("idx")) > 1
+    real = F.col("real") if "real" in folders.columns else F.lit(None).cast("string")
+    within = F.col("inside") if "inside" in folders.columns else F.lit(True)
+    told = folders.select(F.col("path").alias("clean"), "available", real.alias("real"), within.alias("within"))
+    known = entries.withColumn("clean", clean).join(told, "clean", "left")
+    earlier = F.row_number().over(W.partitionBy(F.lower(F.coalesce("real", "clean"))).orderBy("idx")) > 1
     rules = [
         (~F.col("is_object"), "not_object"),
         (F.col("path").isNull() | (F.trim("path") == ""), "bad_path"),
         (F.col("count").isNull() | (F.col("count") < 1), "bad_count"),
         (F.col("path").startswith("/"), "absolute"),
-        (F.array_contains(F.split("clean", "/"), ".."), "outside"),
+        (F.array_contains(F.split("clean", "/"), "..") | ~F.coalesce("within", F.lit(True)), "outside"),
         (F.col("available").isNull(), "no_folder"),
         (earlier, "repeated"),
         (F.col("count") > F.col("available"), "too_few"),

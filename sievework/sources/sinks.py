@@ -109,6 +109,19 @@ def png(picture: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def bmp(picture: np.ndarray) -> bytes:
+    """A colour (h, w, 3) picture as an uncompressed bitmap: rows from below, blue first, padded to four bytes."""
+    h, w, _ = picture.shape
+    rows = np.zeros((h, (3 * w + 3) // 4 * 4), np.uint8)
+    rows[:, : 3 * w] = picture[::-1, :, ::-1].reshape(h, 3 * w)
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, w, h, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
+
+
+def like(picture: np.ndarray, head: bytes, quality: int) -> bytes:
+    """A colour picture in the format of the file that begins with head: JPEG of that quality, bitmap, or else PNG."""
+    return jpeg(picture, quality) if head[:2] == b"\xff\xd8" else bmp(picture) if head[:2] == b"BM" else png(picture)
+
+
 def encoded(picture: np.ndarray, name: str, quality: int) -> bytes:
     """A picture in the format that its name asks for: JPEG of that quality, or else PNG."""
     return jpeg(picture, quality) if re.search(r"\.jpe?g$", name, re.IGNORECASE) else png(picture)

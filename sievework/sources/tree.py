@@ -7,6 +7,7 @@ once. Folders must be shared by driver and executors. Folders' listings are spre
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import shutil
@@ -51,6 +52,7 @@ class TreeReader(DataSourceReader):
         self.flat = options.get("flat", "false") == "true"
         self.every = options.get("every", "false") == "true"
         self.empty = options.get("empty", "false") == "true"
+        self.folders = json.loads(options.get("folders", "null"))
         self.suffixes = tuple(options.get("suffixes", ",".join(names.IMAGE_SUFFIXES)).split(","))
         self.wanted: dict[str, set] = {}
 
@@ -70,6 +72,8 @@ class TreeReader(DataSourceReader):
             raise ValueError(f"not a folder: {self.root}")
         if self.flat:
             groups = [(os.path.basename(self.root), self.root)]
+        elif self.folders is not None:
+            groups = [(f, os.path.join(self.root, f)) for f in self.folders if os.path.isdir(os.path.join(self.root, f))]
         else:
             with os.scandir(self.root) as entries:
                 groups = sorted((e.name, e.path) for e in entries if e.is_dir() and not e.name.startswith("."))
@@ -113,7 +117,7 @@ class TreeReader(DataSourceReader):
 
 class PictureTree(DataSource):
     """Options: path; suffixes (comma-separated, lower case); flat: the root itself is the only group, as an output folder
-    is; every: anything in a folder is a row, whatever its suffix and kind; empty: a group without rows is one, without a name."""
+    is; folders: a JSON list of folders below the root, at any depth, that are the groups; every: anything in a folder is a row, whatever its suffix and kind; empty: a group without rows is one, without a name."""
 
     @classmethod
     def name(cls) -> str:
@@ -130,7 +134,7 @@ def listing(spark: SparkSession, root: str, **options) -> DataFrame:
     """The files of a tree (SCHEMA): regular files and links to such, with an option each of PictureTree's."""
     spark.dataSource.register(PictureTree)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    told = {k: str(v).lower() if isinstance(v, bool) else ",".join(v) if isinstance(v, tuple) else v for k, v in options.items()}
+    told = {k: str(v).lower() if isinstance(v, bool) else ",".join(v) if isinstance(v, tuple) else json.dumps(v) if isinstance(v, list) else v for k, v in options.items()}
     return spark.read.format("picture_tree").options(path=root, **told).load()
 
 
