@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import bpe, common
-from sievework.llm.tokens import MARK, model_path, pre_tokens
+from sievework.llm.tokens import MARK, model_path
 
-#: Words and segments that are cached at once, characters of a cached one, and characters of a slice of documents.
-CACHE_ENTRIES, ENTRY_CHARS, SLICE_CHARS = 1 << 18, 48, 1 << 21
+#: Segments and words that are cached at once, characters of a cached one, and characters of a slice of documents.
+CACHE_ENTRIES, WORD_ENTRIES, ENTRY_CHARS, SLICE_CHARS = 3 << 17, 1 << 17, 48, 1 << 20
 #: Pairs of ids whose counts are broadcast, the most frequent ones; all others are joined by a shuffle.
 FREQUENT_PAIRS = 1 << 18
 #: A pair of ids as one number: the first one's id times this, and the second one's.
@@ -39,7 +39,7 @@ def packed(ids: np.ndarray, sizes: np.ndarray) -> bytes:
 
 
 class Pieces:
-    """Words to packed pieces of a sentencepiece model that begins each word with a space; empty where bytes differ."""
+    """Texts to packed pieces of a sentencepiece model that puts a space before each."""
 
     def __init__(self, name: str):
         import sentencepiece
@@ -50,33 +50,18 @@ class Pieces:
         self.bytes = [bytes.fromhex(byte.fullmatch(p)[1]) if self.model.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
         self.sizes = np.array([len(b) for b in self.bytes])
         self.space = self.model.piece_to_id(MARK)
-        self.cache: dict[str, bytes] = {}
-        self.differ = False
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The cache, once it has all these words."""
-        missing = set(words).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
-            self.cache, self.differ, missing = {}, False, set(words)
-        if missing:
-            listed = list(missing)
-            for word, ids in zip(listed, self.model.encode(listed, num_threads=1), strict=True):
-                ids = ids if word else [self.space]  # a lone space is a piece of its own
-                same = b"".join(map(self.bytes.__getitem__, ids)) == b" " + word.encode()
-                self.differ |= not same
-                self.cache[word] = packed(np.array(ids), self.sizes) if same else b""
-        return self.cache
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed pieces of each text; empty where the pieces' bytes aren't those of a space and the text."""
-        words = [pre_tokens(t) or [""] for t in texts]
-        held, out = self.learn([w for own in words for w in own]), []
-        for text, own in zip(texts, words, strict=True):
-            parts = list(map(held.__getitem__, own))
-            out.append(b"" if MARK in text or (self.differ and not all(parts)) else b"".join(parts))
-        for w in [w for own in words for w in own if len(w) > ENTRY_CHARS]:
-            held.pop(w, None)
-        return out
+        """The packed pieces of each text, a lone space for none; empty where their bytes aren't those of a space and the text."""
+        found = [ids or [self.space] for ids in self.model.encode(texts, num_threads=1)] if texts else []
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32)
+        every, ends = packed(flat, self.sizes), list(itertools.accumulate(8 * len(ids) for ids in found))
+        out = [every[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        got, told = b"".join(map(self.bytes.__getitem__, flat.tolist())), [b" " + t.encode() for t in texts]
+        if got == b"".join(told) and not any(MARK in t for t in texts):
+            return out
+        same = [b"".join(map(self.bytes.__getitem__, ids)) == t for ids, t in zip(found, told, strict=True)]
+        return [o if s else b"" for o, s in zip(out, same, strict=True)]
 
 
 def segments(text: str) -> list[str]:
@@ -91,7 +76,7 @@ class Segments:
     def __init__(self, a_name: str, b_name: str):
         words = bpe.vocabulary(a_name)
         sizes = np.array([len(b) for b in words.bytes])
-        self.a, self.b = bpe.Encoder(words, lambda ids: packed(ids, sizes)), Pieces(b_name)
+        self.a, self.b = bpe.Encoder(words, lambda ids: packed(ids, sizes), WORD_ENTRIES), Pieces(b_name)
         self.cache: dict[str, tuple[bytes, bytes] | None] = {}
 
     def tokens(self, distinct: list[str]) -> list[tuple[bytes, bytes] | None]:

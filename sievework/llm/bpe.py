@@ -81,9 +81,11 @@ class Vocabulary:
             return (m.group() for m in (ASCII_WORD if text.isascii() else self.any_word).finditer(text))
         return (text[a:b] for _, (a, b) in self.own_cut.pre_tokenize_str(text))
 
-    def all_words(self, text: str) -> list[str]:
-        """The same as a list, faster where the text isn't long."""
-        return (ASCII_WORD if text.isascii() else self.any_word).findall(text) if self.only_old(text) else list(self.words(text))
+    def all_words(self, texts: list[str]) -> list[list[str]]:
+        """The pre-tokens of each of many texts that aren't long."""
+        if self.only_old("".join(texts)):
+            return [(ASCII_WORD if t.isascii() else self.any_word).findall(t) for t in texts]
+        return [list(self.words(t)) for t in texts]
 
     def only_old(self, text: str) -> bool:
         """Whether the text has none of the newest letters."""
@@ -179,13 +181,14 @@ def newest_letters() -> list[tuple[int, int]]:
 class Encoder:
     """Words to packed values behind a bounded cache: pack turns the ids of a word into what is kept and joined."""
 
-    def __init__(self, words: Vocabulary, pack=lambda ids: ids.astype("<u4").tobytes()):
+    def __init__(self, words: Vocabulary, pack=lambda ids: ids.astype("<u4").tobytes(), entries: int | None = None):
         self.words, self.pack, self.cache, self.long = words, pack, {}, []
+        self.entries = CACHE_ENTRIES if entries is None else entries
 
     def learned(self, words: list[str]) -> dict[str, bytes]:
         """The cache, once it has all these words; it starts anew where it would get too large."""
         missing = set(words).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
+        if len(self.cache) + len(missing) > self.entries:
             self.cache, missing = {}, set(words)
         if missing:
             self.cache.update(self.words.encode_words(list(missing), self.pack))
@@ -208,19 +211,20 @@ class Encoder:
     def encode(self, texts: list[str], specials: bool = True) -> list[bytes]:
         """The packed values of each text's words; special strings become their tokens, or else are text."""
         out: list = [None] * len(texts)
-        cut, words = self.words.cut if specials else None, {}
+        cut, short = self.words.cut if specials else None, []
         for k, text in enumerate(texts):
             ends = [(m.start(), m.end()) for m in cut.finditer(text)] if cut else []
             if not ends and len(text) <= BLOCK_WORDS:
-                words[k] = self.words.all_words(text)
+                short.append(k)
                 continue
             parts, start = [], 0
             for a, b in ends:
                 parts += [self.plain(text[start:a]), self.pack(np.array([self.words.special[text[a:b]]], np.int32))]
                 start = b
             out[k] = b"".join([*parts, self.plain(text[start:])])
-        held = self.learned(list(itertools.chain.from_iterable(words.values()))).__getitem__
-        for k, own in words.items():
+        words = self.words.all_words([texts[k] for k in short])
+        held = self.learned(list(itertools.chain.from_iterable(words))).__getitem__
+        for k, own in zip(short, words, strict=True):
             out[k] = b"".join(map(held, own))
         self.trimmed()
         return out
