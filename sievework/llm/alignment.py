@@ -147,22 +147,27 @@ def cover(ends: Column) -> Column:
 def groups_of(w: Column) -> Column:
     """The groups of a segment: the ids of both sides (a, b) between two neighbouring bytes at which tokens of both end."""
 
-    def side(ids: Column, ends: Column, at: Column, start: Column, end: Column) -> Column:
-        """The ids of the tokens from one end to another."""
-        last = F.when(at.isNull(), F.array_position(ends, end)).otherwise(F.get(at, end - 1) + 1)
-        before = F.when(start == 0, 0).when(at.isNull(), F.array_position(ends, start)).otherwise(F.get(at, start - 1) + 1)
-        return named(before.cast("int"), lambda b: F.slice(ids, b + 1, last.cast("int") - b))
+    def tokens_up_to(cut: Column, ends: str, at: str) -> Callable[[Column], Column]:
+        return lambda end: F.when(cut[at].isNull(), F.array_position(w[ends], end)).otherwise(F.get(cut[at], end - 1) + 1).cast("int")
 
-    def group(cut: Column) -> Callable[[Column, Column], Column]:
-        def one(end: Column, k: Column) -> Column:
-            start = F.coalesce(F.get(cut["ends"], k - 1), F.lit(0))
-            return F.struct(side(w["a_ids"], w["a_ends"], cut["a"], start, end).alias("a"), side(w["b_ids"], w["b_ends"], cut["b"], start, end).alias("b"))
+    def places(cut: Column) -> Column:
+        return F.transform(cut["ends"], lambda end: F.struct(tokens_up_to(cut, "a_ends", "a")(end).alias("a"), tokens_up_to(cut, "b_ends", "b")(end).alias("b")))
 
-        return one
+    def part(ids: Column, up_to: Column, side: str, k: Column) -> Column:
+        start = F.coalesce(F.get(up_to, k - 1)[side], F.lit(0))
+        return F.slice(ids, start + 1, F.get(up_to, k)[side] - start)
+
+    def between(up_to: Column) -> Column:
+        return F.transform(up_to, lambda p, k: F.struct(part(w["a_ids"], up_to, "a", k).alias("a"), part(w["b_ids"], up_to, "b", k).alias("b")))
+
+    def cut_at(ends: Column) -> Column:
+        cut = F.struct(ends.alias("ends"), cover(w["a_ends"]).alias("a"), cover(w["b_ends"]).alias("b"))
+        alike = F.transform(ends, lambda _, k: F.struct(F.array(F.get(w["a_ids"], k)).alias("a"), F.array(F.get(w["b_ids"], k)).alias("b")))
+        each_alone = (F.size(w["a_ids"]) == F.size(ends)) & (F.size(w["b_ids"]) == F.size(ends))
+        return F.when(F.size(ends) == 1, whole).when(each_alone, alike).otherwise(named(named(cut, places), between))
 
-    cut = F.struct(F.array_intersect(w["a_ends"], w["b_ends"]).alias("ends"), cover(w["a_ends"]).alias("a"), cover(w["b_ends"]).alias("b"))
     whole = F.array(F.struct(w["a_ids"].alias("a"), w["b_ids"].alias("b")))
-    return F.when((F.size(w["a_ids"]) == 1) | (F.size(w["b_ids"]) == 1), whole).otherwise(named(cut, lambda c: F.transform(c["ends"], group(c))))
+    return F.when((F.size(w["a_ids"]) == 1) | (F.size(w["b_ids"]) == 1), whole).otherwise(named(F.array_intersect(w["a_ends"], w["b_ends"]), cut_at))
 
 
 def n_pairs(g: Column) -> Column:
@@ -173,17 +178,31 @@ def links_of(groups: Column) -> Column:
     """All pairs of a token of a and one of b in a group, group by group, as numbers; without wide groups."""
 
     def pairs(g: Column) -> Column:
-        n = F.size(g["b"])
-        each = F.transform(F.sequence(F.lit(0), F.size(g["a"]) * n - 1), lambda k: F.get(g["a"], F.floor(k / n).cast("int")).cast("long") * PAIR + F.get(g["b"], k % n))
-        one = F.transform(g["a"], lambda a: a.cast("long") * PAIR + F.get(g["b"], F.lit(0)))
-        return F.when(n_pairs(g) > WIDE, F.array().cast("array<bigint>")).when(n == 1, one).otherwise(each)
+        first = lambda side: F.get(g[side], F.lit(0))
+        one_a = F.transform(g["b"], lambda b: first("a").cast("long") * PAIR + b)
+        one_b = F.transform(g["a"], lambda a: a.cast("long") * PAIR + first("b"))
+        many = F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: a.cast("long") * PAIR + b)))
+        return F.when(n_pairs(g) > WIDE, F.array().cast("array<bigint>")).when(F.size(g["a"]) == 1, one_a).when(F.size(g["b"]) == 1, one_b).otherwise(many)
 
-    return F.flatten(F.transform(groups, pairs))
+    return F.when(F.size(groups) == 1, pairs(F.get(groups, F.lit(0)))).otherwise(F.flatten(F.transform(groups, pairs)))
 
 
 def text_of(groups: Column) -> Column:
     """Groups as `a1,a2|b1;a3|b2,b3`."""
-    return F.array_join(F.transform(groups, lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))), ";")
+
+    def listed(ids: Column) -> Column:
+        return F.when(F.size(ids) == 1, F.get(ids, F.lit(0)).cast("string")).otherwise(F.array_join(ids.cast("array<string>"), ","))
+
+    def text(g: Column) -> Column:
+        return F.concat(listed(g["a"]), F.lit("|"), listed(g["b"]))
+
+    return F.when(F.size(groups) == 1, text(F.get(groups, F.lit(0)))).otherwise(F.array_join(F.transform(groups, text), ";"))
+
+
+def wide_of(groups: Column) -> Column:
+    """The wide groups of each segment; null where no segment has any."""
+    some = F.exists(groups, lambda own: F.exists(own, lambda g: n_pairs(g) > WIDE))
+    return F.when(some, F.transform(groups, lambda own: F.filter(own, lambda g: n_pairs(g) > WIDE)))
 
 
 def aligned(docs: DataFrame, a_name: str = "byte_bpe_50k.json", b_name: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,15 +216,15 @@ def aligned(docs: DataFrame, a_name: str = "byte_bpe_50k.json", b_name: str = "p
     """
     slices = tokenised(docs, a_name, b_name, id_col, text_col)
     grouped = slices.select("docs", F.explode(F.array(F.transform("words", groups_of))).alias("groups"))  # explode: worked out once, before it is used
-    told = F.struct(F.transform("groups", links_of).alias("links"), F.transform("groups", text_of).alias("text"), F.transform("groups", lambda g: F.filter(g, lambda x: n_pairs(x) > WIDE)).alias("wide"))
+    told = F.struct(F.transform("groups", links_of).alias("links"), F.transform("groups", text_of).alias("text"), wide_of(F.col("groups")).alias("wide"))
     by_word = grouped.select("docs", F.explode(F.array(told)).alias("w"))
-    by_word = by_word.select("docs", F.col("w.links").alias("links"), F.col("w.text").alias("text"), F.col("w.wide").alias("wide"), F.exists("w.wide", lambda x: F.size(x) > 0).alias("any_wide"))
+    by_word = by_word.select("docs", F.col("w.links").alias("links"), F.col("w.text").alias("text"), F.col("w.wide").alias("wide"))
 
     def of(d: Column, column: str) -> Column:
         return F.transform(d["segments"], lambda k: F.get(F.col(column), k))
 
     def document(d: Column) -> Column:
-        wide = F.when(F.col("any_wide"), F.flatten(of(d, "wide"))).otherwise(F.array().cast("array<struct<a:array<int>,b:array<int>>>"))
+        wide = F.when(F.col("wide").isNotNull(), F.flatten(of(d, "wide"))).otherwise(F.array().cast("array<struct<a:array<int>,b:array<int>>>"))
         return F.struct(d["id"].alias("id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.array_join(of(d, "text"), ";").alias("groups"), F.flatten(of(d, "links")).alias("links"), wide.alias("wide"))
 
     return by_word.select(F.explode(F.transform("docs", document)).alias("d")).select(F.col("d.id").alias(id_col), "d.n_a", "d.n_b", "d.groups", "d.links", "d.wide")
