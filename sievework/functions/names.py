@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +30,14 @@ def prefixed(group: Column, name: Column) -> Column:
     return F.when(F.lower(name).startswith(F.lower(prefix)), name).otherwise(F.concat(prefix, name))
 
 
-def family(name: Column) -> Column:
-    """Names that may collide once numbers are appended: the folded stem without its trailing numbers, and the suffix."""
-    return F.concat(F.regexp_replace(F.lower(stem(name)), r"(_\d+)+$", ""), F.lit("/"), F.lower(suffix(name)))
+def folded(text: Column) -> Column:
+    """Full case folding, in Arrow batches: `Straße` and `STRASSE` are alike."""
+
+    @F.pandas_udf("string")
+    def fold(values: pd.Series) -> pd.Series:
+        return values.str.casefold()
+
+    return fold(text)
 
 
 def relative(path: Column, root: str) -> Column:

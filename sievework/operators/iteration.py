@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Graphs of no more edges than this are solved in one task.
 SMALL_GRAPH = 1 << 17
+#: What is before all ids.
+BEFORE_ALL = -(1 << 63)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +36,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_by(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df, written to the session's checkpoint folder with a folder for each value of a column of few values."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.repartition(column).write.partitionBy(column).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def pairs_out(found: list[tuple[int, int]], names: list[str]):
     if found:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=names)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,14 +39,17 @@ def number_within(rows: DataFrame, by: list[str], order: list[Column | str], nam
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     sizes = held.groupBy("__part").agg(F.count("*").alias("__n"))
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))  # a row for each partition
-    placed = held.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__offset") + 1).drop("__part", "__at", "__offset")
+    placed = held.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__offset") + 1).drop("__at", "__offset")
     if not by:
-        return placed
-    firsts = placed.groupBy(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(by)]).agg(F.min(name).alias("__first"))
-    same = F.lit(True)
-    for k, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"__g{k}"))
-    return placed.join(firsts, same).withColumn(name, F.col(name) - F.col("__first") + 1).select(*rows.columns, name)
+        return placed.drop("__part")
+    # a group's first number comes to its rows by partition and group, so that a large group's rows don't meet in one task
+    own = [f"__g{k}" for k in range(len(by))]
+    parts = placed.groupBy("__part", *[F.col(c).alias(g) for c, g in zip(by, own, strict=True)]).agg(F.min(name).alias("__least"))
+    same = lambda left, right: reduce(Column.__and__, [left[a].eqNullSafe(right[b]) for a, b in zip(own, [f"{g}r" for g in own], strict=True)])
+    firsts = parts.groupBy(*[F.col(g).alias(f"{g}r") for g in own]).agg(F.min("__least").alias("__first"))
+    told = parts.join(firsts, same(parts, firsts)).select(F.col("__part").alias("__of"), *own, "__first")
+    here = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(by, own, strict=True)], F.col("__part") == F.col("__of"))
+    return placed.join(told, here).withColumn(name, F.col(name) - F.col("__first") + 1).select(*rows.columns, name)
 
 
 def top_by_hash(rows: DataFrame, quota: Column, by: list[str], key: Column, tie: list[str]) -> DataFrame:
@@ -121,43 +127,79 @@ def round_robin(slots: DataFrame, backgrounds: DataFrame, seed: int = SEED, shar
 
 
 def renumbered(files: DataFrame, grp: str = "grp", name: str = "name") -> DataFrame:
-    """grp, name, target: names of the form grp_NNN stay; others take the smallest unused numbers of their group in name order."""
+    """grp, name, target: names of the form grp_NNN stay; others take the smallest unused numbers of their group in name order.
+
+    A used number has as many free ones before it as it is larger than its rank among the used. Files that wait, by their
+    turn, and used numbers, by the free ones before them, are sorted into one row: a file's place there is its number.
+    """
     matched = F.regexp_extract(names.stem(F.col(name)), r"_(\d{3,})$", 1)
     fits = (matched != "") & (names.stem(F.col(name)) == F.concat(F.col(grp), F.lit("_"), matched))
     rows = files.select(grp, name).withColumn("used", F.when(fits, matched.cast("long")))
     waiting = number_within(rows.where(F.col("used").isNull()), [grp], [F.lower(name), name], "turn")
-    span = rows.groupBy(grp).agg(F.count("*").alias("n")).select(F.col(grp), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("number"))
-    taken = rows.where(F.col("used").isNotNull()).select(grp, F.col("used").alias("number"))
-    free = number_within(span.join(taken, [grp, "number"], "left_anti"), [grp], ["number"], "turn")
+    taken = number_within(rows.where(F.col("used") > 0).select(grp, "used").distinct(), [grp], ["used"], "rank")
+    both = waiting.select(grp, name, "turn", F.lit(0).alias("kind")).unionByName(taken.select(grp, F.lit(None).cast("string").alias(name), (F.col("used") - F.col("rank")).alias("turn"), F.lit(1).alias("kind")))
+    placed = number_within(both, [grp], ["turn", "kind"], "number").where("kind = 0")
     target = F.concat(F.col(grp), F.lit("_"), F.lpad(F.col("number").cast("string"), F.greatest(F.length(F.col("number").cast("string")), F.lit(3)), F.lit("0")), F.lower(names.suffix(F.col(name))))
-    moved = waiting.join(free, [grp, "turn"]).select(grp, name, target.alias("target"))
-    return rows.where(F.col("used").isNotNull()).select(grp, name, F.col(name).alias("target")).unionByName(moved)
+    return rows.where(F.col("used").isNotNull()).select(grp, name, F.col(name).alias("target")).unionByName(placed.select(grp, name, target.alias("target")))
+
+
+def contests(own: pd.DataFrame) -> pd.DataFrame:
+    """For each contested name of a family whether its parent takes it, from k, n_before, parent and name; shorter parents first.
+
+    A name `parent_k` that is also asked for itself goes to whom it first comes up for. The parent's requests, but for one
+    that gets the parent's own name, take the numbers from 2 on in turn; so it takes k if as many of them as there are
+    numbers up to k, without those it had to skip, come before the name's own first request.
+    """
+    taken: dict = {}
+    order = own.assign(depth=own["parent"].str.count("_")).sort_values(["depth", "parent", "k"], kind="stable")
+    for parent, part in order.groupby("parent", sort=False):
+        skipped, first = 0, 0 if taken.get(parent, False) else 1
+        for name, k, before in zip(part["name"], part["k"], part["n_before"], strict=True):
+            taken[name] = before - first >= k - 1 - skipped
+            skipped += not taken[name]
+    return own[["scope", "parent", "k", "name"]].assign(taken=own["name"].map(taken))
 
 
 def unique_names(rows: DataFrame, scope: str, rank: str, name: str) -> DataFrame:
-    """rows with unique: names made unique, without regard to case, in the order of rank within the scope.
+    """rows with unique: names made unique, by full case folding, in the order of rank (unique in its scope) within the scope.
 
-    A collision takes the first free of _2, _3, ... before the suffix. Names of different families never meet, so each
-    family is resolved on its own; families of one row need no Python.
+    A collision takes the first free of _2, _3, ... before the suffix. Requests for a name are numbered by a sort, so that
+    one that everybody asks for spreads over tasks. Two names meet only where one is asked for that another's number makes
+    (`a_2` beside `a`); these few are decided for each family, from how many requests come before, and the numbers that a
+    name had to skip are sorted among its requests, as in renumbered.
     """
-    kept = rows.withColumn("__family", names.family(F.col(name)))
-    counted = kept.withColumn("__n", F.count("*").over(W.partitionBy(scope, "__family")))
-    alone = counted.where("__n = 1").drop("__n", "__family").withColumn("unique", F.col(name))
-    crowd = counted.where("__n > 1").drop("__n")
-    schema = rows.withColumn("unique", F.col(name)).schema
-
-    def resolve(part):
-        part = part.sort_values(rank, kind="stable")
-        seen, following, out = set(), {}, []
-        for wanted in part[name]:
-            dot = wanted.rfind(".")
-            cut = dot if 0 < dot < len(wanted) - 1 else len(wanted)
-            choice, number = wanted, following.get(wanted.casefold(), 2)
-            while choice.casefold() in seen:
-                choice, number = f"{wanted[:cut]}_{number}{wanted[cut:]}", number + 1
-            following[wanted.casefold()] = number
-            seen.add(choice.casefold())
-            out.append(choice)
-        return part.drop(columns="__family").assign(unique=out)[schema.names]
-
-    return alone.unionByName(crowd.groupBy(scope, "__family").applyInPandas(resolve, schema))
+    same, ending = names.folded(F.col(name)), names.suffix(F.col("__b"))
+    asked = rows.withColumn("__b", same).withColumns({"__scope": F.col(scope), "__rank": F.col(rank)})
+    asked = number_within(asked, ["__scope", "__b"], ["__rank"], "__j")
+    bases = checkpointed(asked.where("__j = 1").select(F.col("__scope").alias("scope"), F.col("__b").alias("name"), F.col("__rank").alias("first"), names.stem(F.col("__b")).alias("stem"), ending.alias("ending")))
+    made = F.regexp_extract("stem", r"^(.*)_([1-9]\d{0,17})$", 2).try_cast("long")
+    child = bases.withColumns({"k": made, "parent": F.concat(F.regexp_extract("stem", r"^(.*)_([1-9]\d{0,17})$", 1), F.col("ending"))}).where("k >= 2")
+    known = bases.select(F.col("scope"), F.col("name").alias("parent"))
+    contested = checkpointed(child.join(known, ["scope", "parent"]).select("scope", "parent", "k", "name", "first", "stem", "ending"))
+    columns = [*rows.columns, "unique"]
+    wanted = lambda n: F.when(n == 1, F.col(name)).otherwise(F.concat(names.stem(F.col(name)), F.lit("_"), n.cast("string"), names.suffix(F.col(name))))
+    if contested.isEmpty():
+        return asked.withColumn("unique", wanted(F.col("__j"))).select(*columns)
+
+    parents = contested.select(F.col("scope").alias("__scope"), F.col("parent").alias("__b")).distinct()
+    requests = asked.join(parents, ["__scope", "__b"], "left_semi").select(F.col("__scope").alias("scope"), F.col("__b").alias("parent"), F.lit(None).cast("string").alias("name"), F.col("__rank").alias("at"))
+    marks = contested.select("scope", "parent", "name", F.col("first").alias("at"))
+    place = number_within(requests.unionByName(marks), ["scope", "parent"], ["at", F.col("name").isNotNull()], "place").where("name IS NOT NULL")
+    turns = number_within(place, ["scope", "parent"], ["place"], "turn").select("scope", "name", (F.col("place") - F.col("turn")).alias("n_before"))
+    family = F.concat(F.regexp_replace("stem", r"(_\d+)+$", ""), F.lit("/"), F.col("ending"))
+    open_ones = contested.withColumn("family", family).join(turns, ["scope", "name"]).select("scope", "family", "parent", "k", "name", "n_before")
+    kinds = dict(contested.dtypes)
+    judged = checkpointed(open_ones.groupBy("scope", "family").applyInPandas(contests, f"scope {kinds['scope']}, parent string, k long, name string, taken boolean"))
+
+    # a name that its parent takes has a number for its first request too
+    lost = judged.where("taken").select(F.col("scope").alias("__scope"), F.col("name").alias("__b"), F.lit(1).alias("__lost"))
+    skipped = judged.where("NOT taken").select("scope", "parent", "k")
+    late = asked.join(lost, ["__scope", "__b"], "left").withColumn("__i", F.col("__j") + F.coalesce("__lost", F.lit(0)) - 1).drop("__lost")
+    hard = skipped.select(F.col("scope").alias("__scope"), F.col("parent").alias("__b")).distinct()
+    easy = late.join(hard, ["__scope", "__b"], "left_anti").withColumn("unique", wanted(F.col("__i") + 1)).select(*columns)
+    ranked = number_within(skipped, ["scope", "parent"], ["k"], "q").select(F.col("scope").alias("__scope"), F.col("parent").alias("__b"), (F.col("k") - F.col("q") - 1).alias("__i"), F.lit(1).alias("__kind"))
+    crowd = late.join(hard, ["__scope", "__b"], "left_semi")
+    own = crowd.where("__i = 0").withColumn("unique", F.col(name)).select(*columns)
+    merged = crowd.where("__i > 0").withColumn("__kind", F.lit(0)).unionByName(ranked, allowMissingColumns=True)
+    numbered_ones = number_within(merged, ["__scope", "__b"], ["__i", "__kind"], "__n").where("__kind = 0")
+    return easy.unionByName(own).unionByName(numbered_ones.withColumn("unique", wanted(F.col("__n") + 1)).select(*columns))

@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators.iteration import SMALL_GRAPH, checkpointed, leaders_of, roots_of
+from sievework.operators.iteration import BEFORE_ALL, SMALL_GRAPH, checkpointed, leaders_of, roots_of, stored_by
 
 #: Raster side, block of low frequencies, most differing bits, largest mean difference of bytes.
 SIDE, LOW = 32, 8
 MAX_BITS = 6
 MAX_MEAN = 18.0
 BITS = LOW * LOW - 1
+#: Stretches of pixels whose sums are compared before the pixels.
+BLOCKS = 16
 
 
 def bits_over_median(coefficients: Column) -> Column:
@@ -67,16 +69,73 @@ def bands_for(n: int, most: int, size: int = BITS) -> int:
     return min(range(1, 6), key=cost)
 
 
+def radius_bands(bands: int, most: int, size: int = BITS) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of bands, one of which at least differs in no more than its radius if `most` bits differ in all.
+
+    Were each band over its radius, the radii and one more for each band would differ; that makes `most` and one.
+    """
+    edges = [size * k // bands for k in range(bands + 1)]
+    share, rest = divmod(most + 1, bands)
+    widths = sorted(range(bands), key=lambda k: edges[k] - edges[k + 1])  # wide bands bear a larger radius
+    radius = {k: share - 1 + (place < rest) for place, k in enumerate(widths)}
+    return [(edges[k], edges[k + 1] - edges[k], radius[k]) for k in range(bands)]
+
+
+def near_values(bits: int, radius: int) -> int:
+    return sum(math.comb(bits, i) for i in range(radius + 1))
+
+
+def radius_cost(plan: list[tuple[int, int, int]], n: int, m: int, alone: bool) -> tuple[float, float]:
+    """Rows that probing makes (each of the smaller side, n, for each value within the radius), and pairs that meet by chance."""
+    probes = sum(n * near_values(bits, radius) + m for _, bits, radius in plan)
+    return probes, n * m / (1 + alone) * sum(near_values(bits, radius) / 2.0**bits for _, bits, radius in plan)
+
+
+def best_radius_plan(n: int, m: int, most: int, size: int = BITS, alone: bool = False) -> list[tuple[int, int, int]]:
+    """The bands that cost the fewest rows for sides of n and m hashes; probes of a row are held to about a million."""
+    plans = [radius_bands(k, most, size) for k in range(1, min(most + 1, size) + 1)]
+    plans = [p for p in plans if sum(near_values(bits, radius) for _, bits, radius in p) <= 1 << 20]
+    return min(plans, key=lambda p: sum(radius_cost(p, n, m, alone)))
+
+
+def met_by_radius(left: DataFrame, right: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """(l, lh, r, rh, k): pairs that meet in band k, in which they differ in no more than its radius; left's values are probed."""
+    spark = left.sparkSession
+    flips = [(k, sum(1 << first + b for b in chosen)) for k, (first, bits, radius) in enumerate(plan) for i in range(radius + 1) for chosen in itertools.combinations(range(bits), i)]
+    masks = [((1 << bits) - 1) << first for first, bits, _ in plan]
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        keys = F.transform(F.array(*map(F.lit, masks)), lambda m, k: F.struct(k.alias("k"), F.col("h").bitwiseAND(m).alias("key")))
+        return rows.select(F.col("id").alias(name), F.col("h").alias(f"{name}h"), F.explode(keys).alias("b")).select(name, f"{name}h", "b.*")
+
+    around = F.broadcast(spark.createDataFrame(flips, "k int, flip long"))  # of a size that the plan bounds
+    probes = keyed(left, "l").join(around, "k").withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+    return probes.join(keyed(right, "r"), ["k", "key"]).select("l", "lh", "r", "rh", "k")
+
+
 def hamming_join(left: DataFrame, right: DataFrame | None, most: int, size: int = BITS, joint: int | None = None) -> DataFrame:
     """(l, r) for the pairs of ids whose hashes (id, h) differ in at most `most` bits; without right, those of left with l < r.
 
-    The hash is cut into `most` bands and some more, so that a pair agrees in as many as there are more: an equi-join on
-    combinations of bands (see bands_for) that Spark can shuffle and, where skewed, split. A pair counts where it first
-    agrees in so many bands, so that none comes twice.
+    Two kinds of plans compete by the rows that they make. Either the hash is cut into `most` bands and some more, so that
+    a pair agrees in as many as there are more (joint): an equi-join on combinations of bands. Or it is cut into few bands
+    of which a pair is near in one, each with a radius of its own: the smaller side's rows are joined under all values
+    within it. Spark can shuffle both and, where skewed, split them. A pair counts where it first meets, so that none
+    comes twice. The former suits few bits, the latter many: at 18 of 63 bits it compares under a third of all pairs.
     """
+    counts = (left.count(), left.count() if right is None else right.count()) if joint is None else (0, 0)
     if joint is None:
-        n = left.count() if right is None else max(left.count(), right.count())
-        joint = bands_for(n, most, size)
+        n, m = min(counts), max(counts)
+        plan, exact = best_radius_plan(n, m, most, size, right is None), bands_for(m, most, size)
+        keys = math.comb(most + exact, exact)
+        equal = (n + m) / (1 + (right is None)) * keys + n * m / (1 + (right is None)) * keys / 2.0 ** (size * exact // (most + exact))
+        if sum(radius_cost(plan, n, m, right is None)) < equal:
+            turned = right is not None and counts[1] < counts[0]
+            met = met_by_radius(*((right, left) if turned else (left, left if right is None else right)), plan)
+            differ = F.col("lh").bitwiseXOR(F.col("rh"))
+            near = met.where((F.bit_count(differ) <= most) if right is not None else (F.col("l") < F.col("r")) & (F.bit_count(differ) <= most))
+            first = F.coalesce(*[F.when(F.bit_count(differ.bitwiseAND(F.lit(((1 << bits) - 1) << at))) <= radius, F.lit(k)) for k, (at, bits, radius) in enumerate(plan)])
+            return near.where(F.col("k") == first).select(*([F.col("r").alias("l"), F.col("l").alias("r")] if turned else ["l", "r"]))
+        joint = exact
     bands = most + joint
     edges = [size * k // bands for k in range(bands + 1)]
     cuts = [F.lit(((1 << b - a) - 1) << a) for a, b in zip(edges, edges[1:], strict=False)]
@@ -97,38 +156,101 @@ def hamming_join(left: DataFrame, right: DataFrame | None, most: int, size: int
     return near.where(combo == first).select("l", "r")
 
 
-def mean_difference(a: Column, b: Column) -> Column:
-    """Mean absolute difference of two arrays of numbers of equal length."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x) / F.size(a)
+def digest(pixels: Column) -> Column:
+    """What equal pixels agree in, in 32 bytes."""
+    return F.unhex(F.sha2(pixels, 256))
+
+
+def block_sums(pixels: Column, blocks: int = BLOCKS) -> Column:
+    """Sums of so many equal stretches of pixels' bytes; the last ones of bytes that don't share out evenly are shorter."""
+
+    @F.pandas_udf("array<int>")
+    def sums(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            bytes_ = np.frombuffer(v, np.uint8)
+            starts = np.arange(0, len(bytes_), max(1, -(-len(bytes_) // blocks)))
+            out.append(np.add.reduceat(bytes_, starts, dtype=np.int32) if len(bytes_) else np.zeros(0, np.int32))
+        return pd.Series(out)
+
+    return sums(pixels)
+
 
+def near_by_sums(pairs: DataFrame, rows: DataFrame, most: float = MAX_MEAN) -> DataFrame:
+    """The pairs (l, r) that rows' block sums (id, length, sums) don't tell apart: pixels differ by no less than their sums do."""
+    left = rows.select(F.col("id").alias("l"), F.col("length").alias("ln"), F.col("sums").alias("ls"))
+    right = rows.select(F.col("id").alias("r"), F.col("length").alias("rn"), F.col("sums").alias("rs"))
+    least = F.aggregate(F.zip_with("ls", "rs", lambda x, y: F.abs(x - y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return pairs.join(left, "l").join(right, "r").where((F.col("ln") == F.col("rn")) & (least <= F.lit(most) * F.col("ln"))).select("l", "r")
 
-def verified_pairs(pairs: DataFrame, rows: DataFrame, most: float = MAX_MEAN) -> DataFrame:
-    """The pairs (l, r) whose pixels (id, pixels: array<int>) differ by at most `most` on average: the dear test, after the cheap one."""
-    left = rows.select(F.col("id").alias("l"), F.col("pixels").alias("lp"))
-    right = rows.select(F.col("id").alias("r"), F.col("pixels").alias("rp"))
-    return pairs.join(left, "l").join(right, "r").where(mean_difference(F.col("lp"), F.col("rp")) <= most).select("l", "r")
 
+def verified_pairs(pairs: DataFrame, rows: DataFrame, most: float = MAX_MEAN, fetched=None) -> DataFrame:
+    """The pairs (l, r) whose pixels (id, pixels: binary) differ by at most `most` on average: the dear test, after the cheap one.
 
-def leaders(nodes: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    Sums of a few blocks bound the difference from below, so that pixels are fetched only for pairs that these leave; they
+    are compared in Arrow batches. Pixels of different lengths differ. fetched: an accumulator that counts pairs compared.
+    """
+
+    @F.pandas_udf("double")
+    def difference(a: pd.Series, b: pd.Series) -> pd.Series:
+        if fetched is not None:
+            fetched.add(len(a))
+        return pd.Series([np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).mean() if len(x) else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
+
+    held = rows.where(F.col("pixels").isNotNull())
+    sums = checkpointed(held.select("id", F.octet_length("pixels").alias("length"), block_sums(F.col("pixels")).alias("sums")))
+    left = checkpointed(near_by_sums(pairs, sums, most))
+    ids = left.select(F.explode(F.array("l", "r")).alias("id")).distinct()
+    wanted = held.select("id", "pixels").join(ids, "id", "left_semi")
+    both = left.join(wanted.toDF("l", "lp"), "l").join(wanted.toDF("r", "rp"), "r")
+    return both.where(difference("lp", "rp") <= most).select("l", "r")
+
+
+def swept(left: DataFrame, n: int, block: int) -> DataFrame:
+    """id of the followers among the nodes of n edges (a, b), a < b: blocks of ids, one after another.
+
+    A block's inner edges are solved in one task, which is told which of its nodes follow a leader of an earlier block; so
+    rounds are as many as blocks, whatever the chains. Blocks end where edges, by their later node, are shared out evenly.
+    """
+    spark = left.sparkSession
+    blocks = max(1, -(-n // block))
+    ends = sorted(set(left.agg(F.percentile_approx("b", [k / blocks for k in range(1, blocks)], 20 * blocks)).first()[0])) if blocks > 1 else []
+    where = lambda c: sum(((F.col(c) > e).cast("int") for e in ends), F.lit(0))
+    dealt = stored_by(left.select("a", "b", where("a").alias("from"), where("b").alias("block")), "block", "swept")
+    followers = spark.createDataFrame([], "id long")
+    for k in range(len(ends) + 1):
+        own = dealt.where(F.col("block") == k)
+        known = own.where(F.col("from") < k).join(followers.withColumnRenamed("id", "a"), "a", "left_anti").select(F.lit(BEFORE_ALL).alias("a"), "b").distinct()
+        inner = own.where(F.col("from") == k).select("a", "b").unionByName(known)
+        followers = checkpointed(followers.unionByName(inner.coalesce(1).mapInArrow(leaders_of, "id long, leader long").select("id")))
+    return followers
+
+
+def leaders(nodes: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH, block: int = SMALL_GRAPH) -> DataFrame:
     """(id, leader): greedy clusters in the order of id, where each row joins the first leader it matches or else leads.
 
     The leaders are the lexicographically first maximal independent set, found in rounds: with every earlier neighbour
     decided and none a leader, a node leads; with a leader before it, it follows. Rounds keep only what is undecided:
-    edges from leaders and followers are used up. A graph of a checked, small size is solved in one task instead. edges
-    has (a, b) with a < b.
+    edges from leaders and followers are used up. A round that uses up less than a quarter of the edges tells of long
+    chains; what is left is then swept block by block. A graph of a checked, small size is solved in one task instead.
+    edges has (a, b) with a < b.
     """
     edges = checkpointed(edges.select("a", "b").distinct())
-    if edges.count() <= small:
+    n = edges.count()
+    if n <= small:
         found = checkpointed(edges.coalesce(1).mapInArrow(leaders_of, "id long, leader long"))
         return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
-    left, followers = edges, None
-    while not left.isEmpty():
+    left, followers = edges, nodes.sparkSession.createDataFrame([], "id long")
+    while n:
         # of the nodes with open edges, those without an open edge from before lead
         leading = left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
         found = checkpointed(left.join(leading.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct())
-        followers = found if followers is None else followers.unionByName(found)
+        followers = followers.unionByName(found)
         gone = found.unionByName(leading)
         left = checkpointed(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+        before, n = n, left.count()
+        if n > 0.75 * before:
+            followers, n = followers.unionByName(swept(left, n, block)), 0
     first = edges.join(followers.withColumnRenamed("id", "a"), "a", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
     first = first.join(followers, "id", "left_semi")
     return nodes.select("id").join(first, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))

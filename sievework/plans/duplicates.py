@@ -69,23 +69,13 @@ def hamming_pairs(spark, sf_dir):
     return edges_among(vectors(spark, sf_dir), VECTOR_BITS)
 
 
-def numbered_pixels(rows: DataFrame) -> DataFrame:
-    """id and pixels, as numbers."""
-
-    @F.pandas_udf("array<int>")
-    def numbers(values: pd.Series) -> pd.Series:
-        return values.map(list)
-
-    return rows.select("id", numbers("pixels").alias("pixels"))
-
-
 def verified_pairs(spark, sf_dir):
     """Pairs of rasters that pass both tests. Equal rasters are paired with the first of them only."""
     hashed = visual.dct_hash(rasters(spark, sf_dir)).where("phash IS NOT NULL")
-    same = hashed.groupBy("phash", "pixels").agg(F.min("doc_id").alias("id"))
-    distinct = same.select("id", F.col("phash").alias("h"), "pixels")
+    firsts = visual.checkpointed(hashed.groupBy("phash", visual.digest(F.col("pixels")).alias("digest")).agg(F.min("doc_id").alias("id")))
+    distinct = firsts.select("id", F.col("phash").alias("h"))
     pairs = edges_among(distinct.select("id", "h"), visual.MAX_BITS).select(F.col("a").alias("l"), F.col("b").alias("r"))
-    return visual.verified_pairs(pairs, numbered_pixels(distinct))
+    return visual.verified_pairs(pairs, hashed.select(F.col("doc_id").alias("id"), "pixels"))
 
 
 def led(spark, sf_dir) -> DataFrame:
@@ -144,10 +134,10 @@ def curation_pipeline(spark, sf_dir):
     """
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     scanned = images(spark, sf_dir).join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), "grp", F.when(F.col("quality") == 0, "N").otherwise("P").alias("side"))
-    hashed = visual.dct_hash(rasters(spark, sf_dir)).where("phash IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("phash").alias("h"), "pixels")
+    hashed = visual.dct_hash(rasters(spark, sf_dir)).where("phash IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("phash").alias("h"), "pixels", visual.digest(F.col("pixels")).alias("digest"))
     rows = visual.checkpointed(scanned.join(hashed, "id"))
-    distinct = visual.checkpointed(rows.groupBy("side", "h", "pixels").agg(F.min("id").alias("id")))  # equal rasters: one cluster, led by the first
-    pixels = numbered_pixels(distinct)
+    distinct = visual.checkpointed(rows.groupBy("side", "h", "digest").agg(F.min("id").alias("id")))  # equal rasters: one cluster, led by the first
+    pixels = rows.select("id", "pixels")
     edges = edges_among(distinct, visual.MAX_BITS)
     sides = distinct.select("id", "side")
     within = edges.join(sides.withColumnsRenamed({"id": "a", "side": "sa"}), "a").join(sides.withColumnsRenamed({"id": "b", "side": "sb"}), "b").where("sa = sb")
@@ -158,7 +148,7 @@ def curation_pipeline(spark, sf_dir):
     pairs = visual.checkpointed(visual.verified_pairs(near, pixels).select(F.col("l").alias("p"), F.col("r").alias("n")))
     members = visual.resolve(visual.cross_components(pairs), pairs.select(F.col("p").alias("component")).where("false").withColumn("choice", F.lit("N")), "N")
     lost = members.where("action = 'delete'").select(F.col("id").alias("leader"), F.lit("cross").alias("why"))
-    named = rows.join(groups.select("side", "h", "pixels", "leader"), ["side", "h", "pixels"]).join(lost, "leader", "left")
+    named = rows.join(groups.select("side", "h", "digest", "leader"), ["side", "h", "digest"]).join(lost, "leader", "left")
     action = F.when(F.col("id") != F.col("leader"), "drop_internal").when(F.col("why").isNotNull(), "drop_cross").otherwise("keep")
     return named.select(F.col("id").alias("doc_id"), "grp", "side", "leader", action.alias("action"))
 

@@ -33,11 +33,11 @@ def square(data: bytes, w: int, h: int, channels: int) -> np.ndarray:
     return np.repeat(picture, 3, axis=2) if channels == 1 else picture
 
 
-def small(picture: np.ndarray) -> tuple[bytes, list[int]]:
-    """A picture's grey raster for the hash, and the values of its small RGB version for the pixel test."""
+def small(picture: np.ndarray) -> tuple[bytes, bytes]:
+    """A picture's grey raster for the hash, and the bytes of its small RGB version for the pixel test."""
     rgb = np.clip(np.round(augment.resized(picture, visual.SIDE, visual.SIDE)), 0, 255)
     grey = np.round(rgb @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
-    return grey.tobytes(), rgb.astype(np.uint8).ravel().tolist()
+    return grey.tobytes(), rgb.astype(np.uint8).tobytes()
 
 
 def gathered(spark: SparkSession, root: str, source: str, manifest_path: str | None) -> DataFrame:
@@ -80,7 +80,7 @@ def prepared(rows: DataFrame, pictures: DataFrame) -> DataFrame:
                 out.append((r.side, r.path, r.output, r.width != r.height, grey, rgb))
             yield pd.DataFrame(out, columns=["side", "path", "output", "cropped", "pixels", "rgb"])
 
-    return named.join(pictures, "path").mapInPandas(run, "side string, path string, output string, cropped boolean, pixels binary, rgb array<int>")
+    return named.join(pictures, "path").mapInPandas(run, "side string, path string, output string, cropped boolean, pixels binary, rgb binary")
 
 
 def contents(rows: DataFrame, pictures: DataFrame) -> DataFrame:
@@ -114,13 +114,13 @@ def duplicates(rows: DataFrame, choices: DataFrame | None = None, default: str |
     """
     order = [F.when(F.col("side") == CLASSES[0], 0).otherwise(1), F.lower("output"), "output"]
     ranked = selection.number_within(visual.dct_hash(rows.select("side", "output", "pixels", "rgb")), [], order, "id")
-    ranked = checkpointed(ranked.select("id", "side", "output", F.col("phash").alias("h"), "rgb"))
+    ranked = checkpointed(ranked.select("id", "side", "output", F.col("phash").alias("h"), "rgb", visual.digest(F.col("rgb")).alias("digest")))
     # equal pictures match the same leaders: the first stands for all
-    firsts = ranked.groupBy("side", "h", "rgb").agg(F.min("id").alias("id"))
+    firsts = ranked.groupBy("side", "h", "digest").agg(F.min("id").alias("id"))
     distinct = checkpointed(firsts)
 
     def matches(left: DataFrame, right: DataFrame) -> DataFrame:
-        return visual.verified_pairs(visual.hamming_join(left, right, visual.MAX_BITS), distinct.select("id", F.col("rgb").alias("pixels")))
+        return visual.verified_pairs(visual.hamming_join(left, right, visual.MAX_BITS), ranked.select("id", F.col("rgb").alias("pixels")))
 
     within = None
     for side in CLASSES:
@@ -136,7 +136,7 @@ def duplicates(rows: DataFrame, choices: DataFrame | None = None, default: str |
         named = ranked.where(F.col("side") == CLASSES[0]).select(F.col("id").alias("component"), "output")
         chosen = choices.join(named, "output").select("component", "choice")
     judged = visual.resolve(members, chosen, default).select(F.col("id").alias("leader"), F.col("action").alias("judged"))
-    same = (ranked["side"] == led["side"]) & (ranked["h"] == led["h"]) & (ranked["rgb"] == led["rgb"])
+    same = (ranked["side"] == led["side"]) & (ranked["h"] == led["h"]) & (ranked["digest"] == led["digest"])
     full = ranked.join(led, same).select(ranked["id"], ranked["side"], "output", "leader").join(judged, "leader", "left")
     action = F.when(F.col("id") != F.col("leader"), "drop_internal").when(F.col("judged") == "delete", "drop_cross").when(F.col("judged") == "unresolved", "unresolved").otherwise("keep")
     return full.select("side", "output", action.alias("action"))

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,72 @@ def test_unique_names_cascade(spark):
         assert [got[str(k), f"{i:03d}"] for i in range(len(wanted))] == naive_names(wanted)
 
 
+def serial_names(wanted):
+    """The rule, name by name; suffixes begin with a last dot that is neither first nor last."""
+    seen, out = set(), []
+    for name in wanted:
+        dot = name.rfind(".")
+        cut = dot if 0 < dot < len(name) - 1 else len(name)
+        choice, k = name, 2
+        while choice.casefold() in seen:
+            choice, k = f"{name[:cut]}_{k}{name[cut:]}", k + 1
+        seen.add(choice.casefold())
+        out.append(choice)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_names_of_crowded_families(spark, seed):
+    """Names that others' numbers make, asked for early and late, with cascades of them, and letters that fold into two."""
+    rng = random.Random(100 + seed)
+    stems = ["a", "A", "a_2", "a_3", "a_5", "a_2_2", "a_2_3", "A_2_2_2", "a_02", "a_1", "a_10", "ß", "SS", "ss_2", "_2", "a_", ".a", "b_2"]
+    data, wanted = [], {}
+    for k in range(25):
+        names_ = [rng.choice(stems) + rng.choice([".jpg", ".jpg", ".JPG", "", "."]) for _ in range(rng.randint(1, 60))]
+        for i, (name, out) in enumerate(zip(names_, serial_names(names_), strict=True)):
+            data.append((str(k), f"{i:03d}", name, "x"))
+            wanted[str(k), f"{i:03d}"] = (name, out)
+    rows_ = spark.createDataFrame(data, "scope string, rank string, name string, other string").repartition(3)
+    out = selection.unique_names(rows_, "scope", "rank", "name")
+    assert out.columns == ["scope", "rank", "name", "other", "unique"]
+    assert {(r["scope"], r["rank"]): (r["name"], r["unique"]) for r in out.collect()} == wanted
+
+
+def test_unique_names_of_one_name_spread_over_tasks(spark):
+    n = 400_000
+    same = spark.range(n).select(F.lit("s").alias("scope"), F.format_string("%07d", "id").alias("rank"), F.when(F.col("id") == 77, "IMAGE_500.jpg").otherwise("image.jpg").alias("name"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = visual.checkpointed(selection.unique_names(same, "scope", "rank", "name"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.select(F.lower("unique")).distinct().count() == n == out.count()
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 0.6 * n
+    got = {r["rank"]: r["unique"] for r in out.where("rank IN ('0000000', '0000001', '0000076', '0000077', '0000498', '0000499', '0000500', '0399999')").collect()}
+    # 500 is skipped: the name itself was asked for before the number came up
+    assert got == {"0000000": "image.jpg", "0000001": "image_2.jpg", "0000076": "image_77.jpg", "0000077": "IMAGE_500.jpg", "0000498": "image_498.jpg", "0000499": "image_499.jpg", "0000500": "image_501.jpg", "0399999": "image_400000.jpg"}
+
+
+def test_renumbering_a_large_group(spark):
+    n = 300_000
+    used = lambda k: k % 3 == 0 or 1000 <= k < 5000
+    files = spark.range(1, n + 1).select(F.lit("bg").alias("grp"), F.when((F.col("id") % 3 == 0) | F.col("id").between(1000, 4999), F.concat(F.lit("bg_"), F.lpad(F.col("id").cast("string"), 7, "0"), F.lit(".png"))).otherwise(F.format_string("x%07d.jpg", "id")).alias("name"))
+    out = selection.renumbered(files)
+    got = {r["name"]: r["target"] for r in out.collect()}
+    free = (k for k in range(1, 2 * n) if not used(k) or k > n)
+    for k in range(1, n + 1):
+        if used(k):
+            assert got[f"bg_{k:07}.png"] == f"bg_{k:07}.png"
+        else:
+            assert got[f"x{k:07}.jpg"] == f"bg_{next(free):03}.jpg"
+
+
+def test_renumbering_keeps_equal_numbers_and_zero(spark):
+    files = spark.createDataFrame([("bg", n) for n in ("bg_002.jpg", "bg_002.png", "bg_000.jpg", "bg_1000.jpg", "a.jpg", "b.jpg", "c.jpg")], "grp string, name string")
+    assert {r["name"]: r["target"] for r in selection.renumbered(files).collect() if r["name"][:2] != "bg"} == {"a.jpg": "bg_001.jpg", "b.jpg": "bg_003.jpg", "c.jpg": "bg_004.jpg"}
+
+
 def test_renumbering(spark):
     files = spark.createDataFrame([("bg", n) for n in ("bg_001.jpg", "bg_3.png", "x.JPG", "y.webp")], "grp string, name string")
     assert rows(selection.renumbered(files).select("name", "target")) == [("bg_001.jpg", "bg_001.jpg"), ("bg_3.png", "bg_002.png"), ("x.JPG", "bg_003.jpg"), ("y.webp", "bg_004.webp")]
@@ -131,6 +198,24 @@ def test_leaders_equal_greedy(spark, seed):
         assert {r["id"]: r["leader"] for r in got.collect()} == greedy(n, edges)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_leaders_by_blocks_equal_greedy(spark, seed):
+    rng = random.Random(50 + seed)
+    n = 60
+    edges = {(k, k + 1) for k in range(n - 1)} | {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.03}
+    got = visual.leaders(spark.range(n), spark.createDataFrame(sorted(edges), "a long, b long"), 0, 16)
+    assert {r["id"]: r["leader"] for r in got.collect()} == greedy(n, edges)
+
+
+def test_leaders_of_a_long_chain(spark, monkeypatch):
+    n, rounds = 1_000_001, []
+    plain = visual.checkpointed
+    monkeypatch.setattr(visual, "checkpointed", lambda df: (rounds.append(1), plain(df))[1])
+    got = visual.leaders(spark.range(n), spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), 0)
+    assert got.where(F.col("leader") != F.col("id") - F.col("id") % 2).isEmpty() and got.count() == n
+    assert len(rounds) <= 20
+
+
 def test_cross_components_and_policy(spark):
     pairs = spark.createDataFrame([(1, 11), (2, 11), (2, 12), (5, 15)], "p long, n long")
     assert rows(visual.cross_components(pairs, small=0)) == rows(visual.cross_components(pairs))
@@ -158,6 +243,55 @@ def test_hamming_join_loses_nothing(spark, most):
         assert rows(visual.hamming_join(df, None, most, joint=joint)) == [(a, b) for a, b in wanted if a < b]
 
 
+@pytest.mark.parametrize(("bands", "most", "size"), [(1, 2, 9), (2, 3, 9), (3, 4, 11), (5, 18, 63), (7, 6, 63), (4, 3, 8)])
+def test_radius_bands_lose_nothing(bands, most, size):
+    plan = visual.radius_bands(bands, most, size)
+    assert sum(r + 1 for *_, r in plan) == most + 1 and sum(b for _, b, _ in plan) == size
+    rng = random.Random(bands)
+    for _ in range(500):
+        differ = sum(1 << b for b in rng.sample(range(size), rng.randint(0, most)))
+        assert any((differ >> at & (1 << bits) - 1).bit_count() <= radius for at, bits, radius in plan)
+
+
+@pytest.mark.parametrize(("most", "turned"), [(18, False), (18, True), (6, False)])
+def test_hamming_join_by_radius(spark, monkeypatch, most, turned):
+    rng = random.Random(most)
+    near = lambda x: x ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, most + 3)))
+    values = [rng.getrandbits(63) for _ in range(60)]
+    values += [near(x) for x in values] + values[:3]
+    wanted = sorted((a, b) for a in range(len(values)) for b in range(len(values)) if (values[a] ^ values[b]).bit_count() <= most)
+    df = spark.createDataFrame(list(enumerate(values)), "id long, h long")
+    monkeypatch.setattr(visual, "best_radius_plan", lambda n, m, most, size, alone: visual.radius_bands(5, most, size))
+    monkeypatch.setattr(visual, "radius_cost", lambda *a: (0, 0))
+    some = df.where("id < 30")
+    left, right = (df, some) if turned else (some, df)
+    assert rows(visual.hamming_join(left, right, most)) == [(a, b) for a, b in wanted if (b if turned else a) < 30]
+    assert rows(visual.hamming_join(df, None, most)) == [(a, b) for a, b in wanted if a < b]
+
+
+def test_hamming_join_of_many_bits_compares_under_a_third(spark):
+    rng = np.random.default_rng(3)
+    n = 20_000
+    df = visual.checkpointed(spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "h": rng.integers(0, 1 << 63, n)})))
+    plan = visual.best_radius_plan(n, n, visual.BITS * 2 // 7, visual.BITS, True)
+    met = visual.met_by_radius(df, df, plan).where("l < r").count()
+    assert met < n * (n - 1) / 2 / 3
+    assert abs(met / visual.radius_cost(plan, n, n, True)[1] - 1) < 0.05
+
+
+def test_pixels_are_fetched_for_few(spark):
+    rng = np.random.default_rng(4)
+    base = np.repeat(rng.integers(20, 220, (40, 16)), 64, axis=1) + rng.integers(-10, 11, (40, 1024))
+    pixels = np.concatenate([base, np.clip(base + rng.integers(-20, 21, base.shape), 0, 255), np.clip(base + 25, 0, 255), np.clip(base[:, ::-1], 0, 255)]).astype(np.uint8)
+    rows_ = spark.createDataFrame([(k, p.tobytes()) for k, p in enumerate(pixels)] + [(900, b""), (901, b"\0" * 512), (902, None)], "id long, pixels binary")
+    ids = [*range(len(pixels)), 900, 901, 902]
+    every = [(a, b) for a in ids for b in ids if a < b]
+    fetched = spark.sparkContext.accumulator(0)
+    got = rows(visual.checkpointed(visual.verified_pairs(spark.createDataFrame(every, "l long, r long"), rows_, fetched=fetched)))
+    assert got == [(a, b) for a, b in every if b < 900 and np.abs(pixels[a].astype(int) - pixels[b]).mean() <= visual.MAX_MEAN]
+    assert len(got) <= fetched.value < 0.5 * len(every)
+
+
 def test_dct_hash_bits(spark):
     rng = np.random.default_rng(1)
     pixels = [rng.integers(0, 256, 1024).astype(np.uint8).tobytes() for _ in range(5)] + [None]
