@@ -7,6 +7,7 @@ import json
 import numpy as np
 import pytest
 
+from sievework.operators import mask_cache
 from sievework.plans import workflows
 from sievework.sources import sinks
 
@@ -110,11 +111,70 @@ def test_augment_tree(spark, tmp_path):
     for _ in range(2):
         go(tmp_path / "cached", cache=kept)
         assert {p.relative_to(tmp_path / "cached"): p.read_bytes() for p in (tmp_path / "cached").rglob("*.jpg")} == first
-        assert spark.read.parquet(kept).count() == 5
+        assert mask_cache.entries(spark, kept).count() == 5
     put(root / "c" / "g", "c0.png", subject(14)[:, 5:])
     go(tmp_path / "cached", cache=kept)
-    assert spark.read.parquet(kept).count() == 6
+    assert mask_cache.entries(spark, kept).count() == 5  # the changed picture's mask has taken the old one's place
     (tmp_path / "skip.txt").write_text("t/g/none.png\n")
     with pytest.raises(ValueError, match="none.png"):
         go(tmp_path / "other")
     assert not (tmp_path / "other").exists()
+
+
+def masks(spark, rows):
+    return spark.createDataFrame([(key, sign, 2, 1, bytearray(mask)) for key, sign, mask in rows], mask_cache.SCHEMA)
+
+
+def test_mask_cache_keeps_the_latest_of_each_key(spark, tmp_path):
+    folder = str(tmp_path / "cache")
+    assert mask_cache.entries(spark, folder).count() == 0
+    for k in range(12):
+        mask_cache.add(masks(spark, [("a", f"s{k}", bytes([k, 1])), (f"k{k % 3}", "s", bytes([k, 2])), ("broken", "s", b"x")]), folder)
+        held = {r["key"]: (r["signature"], bytes(r["mask"])) for r in mask_cache.entries(spark, folder).collect()}
+        assert held["a"] == (f"s{k}", bytes([k, 1])) and held[f"k{k % 3}"] == ("s", bytes([k, 2])) and "broken" not in held
+        assert len(held) == 1 + min(k + 1, 3)
+    folders = [p.name for p in (tmp_path / "cache").iterdir() if p.is_dir()]
+    now = mask_cache.snapshot(spark, folder)
+    assert set(folders) == {*now["folders"], *now["before"]} and len(now["folders"]) <= mask_cache.MOST_FOLDERS
+
+
+def test_a_reader_of_the_mask_cache_sees_one_snapshot(spark, tmp_path):
+    folder = str(tmp_path / "cache")
+    for k in range(3):
+        mask_cache.add(masks(spark, [("a", f"s{k}", b"11"), (f"k{k}", "s", b"22")]), folder)
+    reader = mask_cache.entries(spark, folder)
+    mask_cache.compact(spark, folder)
+    assert sorted((r["key"], r["signature"]) for r in reader.collect()) == [("a", "s2"), ("k0", "s"), ("k1", "s"), ("k2", "s")]
+    assert sorted((r["key"], r["signature"]) for r in mask_cache.entries(spark, folder).collect()) == [("a", "s2"), ("k0", "s"), ("k1", "s"), ("k2", "s")]
+    assert len(mask_cache.snapshot(spark, folder)["folders"]) == 1
+    # a write that stops before the swap changes nothing
+    masks(spark, [("a", "s9", b"99")]).write.parquet(f"{folder}/masks-lost")
+    assert {r["signature"] for r in mask_cache.entries(spark, folder).where("key = 'a'").collect()} == {"s2"}
+
+
+def test_combine_counts_what_was_done(spark, classes):
+    for name in ("P", "N"):
+        (classes / name).mkdir()
+    put(classes / "N", "old.png", scene(5))
+    wide = scene(6, 40, 50)
+    (classes / "in" / "bad" / "a" / "flat.bmp").write_bytes(sinks.bmp(wide))
+    counts = {}
+    with pytest.warns(UserWarning, match="1 files can't be read: .*broken.png"):
+        plan = combine(spark, classes, default="N", counts=counts)
+    kept = plan.where("action = 'keep'").count()
+    assert counts == {"unreadable": 1, "non_square": 2, str(classes): {"written": kept, "removed": 1, "failed": 0}}
+    (flat,) = [r for r in sinks.read_pictures(spark, str(classes / "N")).collect() if r["path"].endswith("a_flat.bmp")]
+    assert (classes / "N" / "a_flat.bmp").read_bytes()[:2] == b"BM" and bytes(flat["data"]) == wide[:, 5:45].tobytes()
+
+
+def test_manifest_folders_are_resolved(spark, classes, tmp_path):
+    inside, outside = classes / "in" / "again", tmp_path / "outside"
+    put(outside, "o.png", scene(7))
+    inside.symlink_to(classes / "in" / "pool")
+    (classes / "in" / "away").symlink_to(outside)
+    (classes / "in" / "empty").mkdir()
+    for sources, error in (([{"path": "pool", "count": 1}, {"path": "again", "count": 1}], "source 2 .again.: repeated"), ([{"path": "away", "count": 1}], "source 1 .away.: outside"), ([{"path": "empty", "count": 1}], "too_few"), ([{"path": "none", "count": 1}], "no_folder")):
+        (classes / "in" / "good.json").write_text(json.dumps({"sources": sources}))
+        with pytest.raises(ValueError, match=error):
+            combine(spark, classes, default="N")
+    assert not (classes / "P").exists() and not (classes / "N").exists()
