@@ -130,7 +130,6 @@ def curation_pipeline(spark, sf_dir):
     """All steps over documents: scan, hash, leaders in each class, conflicts between classes (N goes), actions.
 
     Class by label (unlabelled: P); rank by id. Pairs match by hash and by pixels; equal rasters of a class are one.
-    The SQL oracle leaves out the test of pixels.
     """
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     scanned = images(spark, sf_dir).join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), "grp", F.when(F.col("quality") == 0, "N").otherwise("P").alias("side"))
@@ -224,12 +223,15 @@ acts AS (SELECT 'internal' AS reason, side, 'delete' AS action FROM vectors JOIN
   UNION ALL SELECT 'cross', side, CASE WHEN component % 5 = 0 THEN 'unresolved' WHEN component % 2 = 1 OR side = 'P' THEN 'delete' ELSE 'keep' END FROM members)
 SELECT reason, side, action, count(*) AS n FROM acts GROUP BY reason, side, action""",
     "curation_pipeline": f"""WITH RECURSIVE {IMAGES_SQL}, {DCT_SQL},
-rows AS (SELECT i.doc_id AS id, grp, CASE WHEN quality = 0 THEN 'N' ELSE 'P' END AS side, phash AS h FROM images i JOIN hashes USING (doc_id) LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
-firsts AS (SELECT side, h, min(id) AS id FROM rows GROUP BY side, h),
-near AS (SELECT x.id AS a, y.id AS b FROM firsts x JOIN firsts y ON x.side = y.side AND x.id < y.id AND bit_count(xor(x.h, y.h)) <= 6),
+pixels AS (SELECT doc_id, list(g ORDER BY y * 32 + x) AS p FROM px GROUP BY doc_id),
+rows AS (SELECT i.doc_id AS id, grp, CASE WHEN quality = 0 THEN 'N' ELSE 'P' END AS side, phash AS h, p FROM images i JOIN hashes USING (doc_id) JOIN pixels USING (doc_id) LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
+firsts AS (SELECT side, h, p, min(id) AS id FROM rows GROUP BY side, h, p),
+alike AS (SELECT x.id AS a, y.id AS b, x.side AS sa, y.side AS sb FROM firsts x JOIN firsts y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 6
+  WHERE list_sum(list_transform(list_zip(x.p, y.p), lambda z: abs(z[1] - z[2]))) / 1024.0 <= 18),
+near AS (SELECT a, b FROM alike WHERE sa = sb),
 {leaders_sql('led', 'firsts', 'near')},
 grps AS (SELECT f.*, leader FROM firsts f JOIN led USING (id)), kept AS (SELECT * FROM grps WHERE id = leader),
-lost AS (SELECT DISTINCT y.id FROM kept x JOIN kept y ON x.side = 'P' AND y.side = 'N' AND bit_count(xor(x.h, y.h)) <= 6)
+lost AS (SELECT DISTINCT CASE WHEN sa = 'N' THEN a ELSE b END AS id FROM alike WHERE sa <> sb AND a IN (SELECT id FROM kept) AND b IN (SELECT id FROM kept))
 SELECT r.id AS doc_id, grp, r.side, leader, CASE WHEN r.id <> leader THEN 'drop_internal' WHEN leader IN (SELECT id FROM lost) THEN 'drop_cross' ELSE 'keep' END AS action
-FROM rows r JOIN grps g ON r.side = g.side AND r.h = g.h""",
+FROM rows r JOIN grps g ON r.side = g.side AND r.h = g.h AND r.p = g.p""",
 }

@@ -5,6 +5,7 @@ Both check first, then plan in DataFrames, and write last; folders must be share
 
 from __future__ import annotations
 
+import hashlib
 import os
 import warnings
 
@@ -46,7 +47,7 @@ def gathered(spark: SparkSession, root: str, source: str, manifest_path: str | N
     Raises ValueError with the first error of the manifest; a manifest that isn't there names no sources. Only folders
     that are named are listed.
     """
-    groups = tree.listing(spark, source).select(F.lit(0).alias("phase"), F.concat(F.lit(f"{os.path.relpath(source, root)}/"), "grp").alias("grp"), F.col("grp").alias("leaf"), "name", "path")
+    groups = tree.listing(spark, source).select(F.lit(0).alias("phase"), F.concat(F.lit(f"{os.path.relpath(source, root)}/"), "grp").alias("grp"), F.col("grp").alias("leaf"), "name", "path", "length", "modified")
     if manifest_path is None or not os.path.isfile(manifest_path):
         return groups
     entries = manifest.read_manifest(spark, manifest_path)
@@ -60,7 +61,7 @@ def gathered(spark: SparkSession, root: str, source: str, manifest_path: str | N
     if wrong:
         raise ValueError(f"{manifest_path}: source {wrong['idx']} ({wrong['path']}): {wrong['error']}")
     chosen = selection.top_by_hash(files.where("name IS NOT NULL").join(wanted, "grp"), F.col("count"), ["grp"], names.seeded_key(SEED, F.col("grp"), F.col("name")), ["name"])
-    return groups.unionByName(chosen.select(F.lit(1).alias("phase"), "grp", F.regexp_extract("grp", "([^/]+)$", 1).alias("leaf"), "name", "path"))
+    return groups.unionByName(chosen.select(F.lit(1).alias("phase"), "grp", F.regexp_extract("grp", "([^/]+)$", 1).alias("leaf"), "name", "path", "length", "modified"))
 
 
 def prepared(rows: DataFrame, pictures: DataFrame) -> DataFrame:
@@ -142,7 +143,30 @@ def duplicates(rows: DataFrame, choices: DataFrame | None = None, default: str |
     return full.select("side", "output", action.alias("action"))
 
 
-def combine(spark: SparkSession, root: str, sources: dict[str, str], outputs: dict[str, str], manifests: dict[str, str] | None = None, choices: DataFrame | None = None, default: str | None = None, counts: dict | None = None) -> DataFrame:
+def fingerprint(rows: DataFrame) -> str:
+    """A name for what rows of gathered() are, whatever their order: other files, sizes or times give another one."""
+    told = rows.agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(k), "side", "phase", "grp", "name", "path", "length", "modified").cast("decimal(38,0)")).cast("string").alias(f"h{k}") for k in range(2)]).first()
+    return hashlib.sha256(repr(tuple(told)).encode()).hexdigest()[:32]
+
+
+def decoded_once(rows: DataFrame, work: str | None, decodes=None) -> tuple[DataFrame, DataFrame, str | None]:
+    """The pictures of rows, what prepared() makes of them, and the folder that they were stored in or read from, if any.
+
+    With a work folder, a later call over the same files, by their fingerprint, takes both from there.
+    """
+    spark = rows.sparkSession
+    if work is None:
+        pictures = tree.decoded(rows, decodes=decodes)
+        return pictures, checkpointed(prepared(rows, pictures)), None
+    folder = f"{work}/{fingerprint(rows)}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/ready/_SUCCESS")  # written last
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        tree.decoded(rows, decodes=decodes).write.mode("overwrite").parquet(f"{folder}/pictures")
+        prepared(rows, spark.read.parquet(f"{folder}/pictures")).write.mode("overwrite").parquet(f"{folder}/ready")
+    return spark.read.parquet(f"{folder}/pictures"), spark.read.parquet(f"{folder}/ready"), folder
+
+
+def combine(spark: SparkSession, root: str, sources: dict[str, str], outputs: dict[str, str], manifests: dict[str, str] | None = None, choices: DataFrame | None = None, default: str | None = None, counts: dict | None = None, work: str | None = None, decodes=None) -> DataFrame:
     """Fills a folder for each class (P, N) from its source tree and manifest, squared and without near duplicates.
 
     Returns side, path, output, cropped and action of every decodable picture; those of `keep` are written. Files that
@@ -151,6 +175,9 @@ def combine(spark: SparkSession, root: str, sources: dict[str, str], outputs: di
     folder changes: ValueError for a source that isn't there, a bad manifest, an output folder with other content than
     pictures, or a conflict between the classes that neither choices nor the default resolve. Each file is decoded once;
     folders are replaced in two phases, see sources.commit.
+
+    With a work folder, a run that stops at an open conflict leaves its pictures there, and the next one, over the same
+    files and with more choices, goes on from them; what is stored goes when a run is through. decodes: see tree.decoded.
     """
     for side in CLASSES:
         if not os.path.isdir(sources[side]):
@@ -160,13 +187,12 @@ def combine(spark: SparkSession, root: str, sources: dict[str, str], outputs: di
     for side in CLASSES:
         commit.check(spark, places[side][0], [places[side][1]])
     rows = checkpointed(taken[0].unionByName(taken[1]))
-    pictures = tree.decoded(rows)
+    pictures, ready, stored = decoded_once(rows, work, decodes)
     skipped = checkpointed(tree.unreadable(rows, pictures))
     n_skipped = skipped.count()
     if n_skipped:
         some = ", ".join(r["path"] for r in skipped.orderBy("path").limit(5).collect())
         warnings.warn(f"{n_skipped} files can't be read: {some}", stacklevel=2)
-    ready = checkpointed(prepared(rows, pictures))
     plan = checkpointed(ready.select("side", "path", "output", "cropped").join(duplicates(ready, choices, default), ["side", "output"]))
     open_ones = [r["output"] for r in plan.where("action = 'unresolved'").orderBy("output").limit(5).collect()]
     if open_ones:
@@ -178,6 +204,9 @@ def combine(spark: SparkSession, root: str, sources: dict[str, str], outputs: di
         here = [side for side in CLASSES if places[side][0] == parent]
         own = kept.where(F.col("side").isin(here)).select(grp.alias("grp"), F.col("output").alias("name"), "path", "cropped")
         told[parent] = commit.replace_folders(contents(own, pictures), parent, [places[side][1] for side in here])[1]
+    if stored is not None:
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored)
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     if counts is not None:
         counts.update(told)
     return plan

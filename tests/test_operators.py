@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -370,6 +371,10 @@ def test_curation_needs_equal_pixels_too(spark, tmp_path):
     spark.createDataFrame([(13, 0, 0), (17, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = {r["doc_id"]: (r["leader"], r["action"]) for r in duplicates.curation_pipeline(spark, str(tmp_path)).collect()}
     assert got == {1: (1, "keep"), 5: (5, "keep"), 9: (1, "drop_internal"), 13: (13, "drop_cross"), 17: (17, "drop_cross")}
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    assert {r[0]: r[3:] for r in con.sql(duplicates.ORACLES["curation_pipeline"]).fetchall()} == got
 
 
 def test_flagship_is_the_whole_curation(monkeypatch):

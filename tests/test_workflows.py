@@ -178,3 +178,19 @@ def test_manifest_folders_are_resolved(spark, classes, tmp_path):
         with pytest.raises(ValueError, match=error):
             combine(spark, classes, default="N")
     assert not (classes / "P").exists() and not (classes / "N").exists()
+
+
+def test_combine_goes_on_after_an_open_conflict(spark, classes):
+    decodes, work = spark.sparkContext.accumulator(0), str(classes / "work")
+    with pytest.raises(ValueError, match="unresolved"):
+        combine(spark, classes, work=work, decodes=decodes)
+    first = decodes.value
+    assert first == 7 and not (classes / "P").exists()
+    choices = spark.createDataFrame([("a_x.png", "N")], "output string, choice string")
+    plan = {(r["side"], r["output"]): r["action"] for r in combine(spark, classes, choices=choices, work=work, decodes=decodes).collect()}
+    assert decodes.value == first and plan["N", "a_same.png"] == "drop_cross" and plan["P", "a_x.png"] == "keep"
+    assert sorted(p.name for p in (classes / "N").iterdir()) == ["a_y.png"] and not list((classes / "work").iterdir())
+    # other files are decoded anew
+    put(classes / "in" / "bad" / "a", "z.png", scene(8))
+    combine(spark, classes, choices=choices, work=work, decodes=decodes)
+    assert decodes.value == 2 * first + 1
