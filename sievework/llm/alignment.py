@@ -22,7 +22,7 @@ from sievework.llm import bpe, common
 from sievework.llm.tokens import MARK, model_path
 
 #: Segments and words that are cached at once, characters of a cached one, and characters of a slice of documents.
-CACHE_ENTRIES, WORD_ENTRIES, ENTRY_CHARS, SLICE_CHARS = 3 << 17, 1 << 17, 48, 1 << 20
+CACHE_ENTRIES, WORD_ENTRIES, ENTRY_CHARS, SLICE_CHARS = 1 << 18, 1 << 16, 48, 1 << 19
 #: Pairs of ids whose counts are broadcast, the most frequent ones; all others are joined by a shuffle.
 FREQUENT_PAIRS = 1 << 18
 #: A pair of ids as one number: the first one's id times this, and the second one's.
