@@ -294,3 +294,13 @@ def test_lines_with_an_extra_column_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc", "x", "y"), (2, "a\nb\nc\nd", "x", "y")], "doc_id long, text string, places string, `__row` string")
     got = lines.drop_repeated_lines(docs)
     assert {r["doc_id"]: (r["text"], r["places"], r["__row"]) for r in got.collect()} == {1: ("a\nb\nc", "x", "y"), 2: ("d", "x", "y")}
+
+
+@pytest.mark.parametrize("stage", ["language_id", "line_dedup"])
+def test_stages_take_any_column_name(spark, folder, stage):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").withColumn("a.b", F.lit("kept"))
+    run_stage = dict(corpus_pipeline.STAGES)[stage]
+    found, plain = run_stage(spark, docs, folder[0]), run_stage(spark, docs.select(*[f"`{c}`" for c in docs.columns if c != "a.b"]), folder[0])
+    assert found.columns == docs.columns and {r["a.b"] for r in found.select("`a.b`").collect()} == {"kept"}
+    key = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=repr)
+    assert key(found) == key(plain)
