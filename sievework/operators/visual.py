@@ -156,6 +156,16 @@ def hamming_join(left: DataFrame, right: DataFrame | None, most: int, size: int
     return near.where(combo == first).select("l", "r")
 
 
+def total_difference(a: Column, b: Column) -> Column:
+    """Sum of absolute differences of two arrays of numbers of equal length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def mean_difference(a: Column, b: Column) -> Column:
+    """Mean absolute difference of two arrays of numbers of equal length."""
+    return total_difference(a, b) / F.size(a)
+
+
 def digest(pixels: Column) -> Column:
     """What equal pixels agree in, in 32 bytes."""
     return F.unhex(F.sha2(pixels, 256))
@@ -180,7 +190,7 @@ def near_by_sums(pairs: DataFrame, rows: DataFrame, most: float = MAX_MEAN) -> D
     """The pairs (l, r) that rows' block sums (id, length, sums) don't tell apart: pixels differ by no less than their sums do."""
     left = rows.select(F.col("id").alias("l"), F.col("length").alias("ln"), F.col("sums").alias("ls"))
     right = rows.select(F.col("id").alias("r"), F.col("length").alias("rn"), F.col("sums").alias("rs"))
-    least = F.aggregate(F.zip_with("ls", "rs", lambda x, y: F.abs(x - y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    least = total_difference(F.col("ls"), F.col("rs"))
     return pairs.join(left, "l").join(right, "r").where((F.col("ln") == F.col("rn")) & (least <= F.lit(most) * F.col("ln"))).select("l", "r")
 
 
