@@ -143,6 +143,23 @@ def duplicates(rows: DataFrame, choices: DataFrame | None = None, default: str |
     return full.select("side", "output", action.alias("action"))
 
 
+def normalize_output(spark: SparkSession, folder: str) -> int:
+    """Cuts the pictures right in an output folder that aren't square to their centred squares; how many were replaced.
+
+    Square ones, links and files that can't be read stay as they are. ValueError: a link or no folder.
+    """
+    if os.path.islink(folder) or not os.path.isdir(folder):
+        raise ValueError(f"not a folder: {folder}")
+    parent, grp = os.path.split(os.path.abspath(folder))
+    listed = tree.listing(spark, folder, flat=True).where("NOT is_link")
+    pictures = tree.decoded(listed)
+    wide = checkpointed(listed.select("name", "path").join(pictures.where("width <> height").select("path"), "path"))
+    if wide.isEmpty():
+        return 0
+    rows = wide.select(F.lit(grp).alias("grp"), "name", "path", F.lit(True).alias("cropped"))
+    return commit.update_files(contents(rows, pictures), parent)[1]["written"]
+
+
 def fingerprint(rows: DataFrame) -> str:
     """A name for what rows of gathered() are, whatever their order: other files, sizes or times give another one."""
     told = rows.agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(k), "side", "phase", "grp", "name", "path", "length", "modified").cast("decimal(38,0)")).cast("string").alias(f"h{k}") for k in range(2)]).first()

@@ -219,3 +219,12 @@ def replace_folders(rows: DataFrame, root: str, groups: list[str], numbered: boo
     for grp in groups:
         os.makedirs(os.path.join(root, grp), exist_ok=True)
     return publish(spark, os.path.abspath(root), folder, groups)
+
+
+def update_files(rows: DataFrame, root: str) -> tuple[DataFrame, dict]:
+    """Puts the files of rows (grp, name, content) into root's groups, in the same two phases, and deletes nothing there."""
+    spark = rows.sparkSession
+    recover(spark, root)
+    folder = stage(rows, root)
+    remember(folder, [])
+    return publish(spark, os.path.abspath(root), folder, [])

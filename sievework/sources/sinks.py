@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import stat
 import struct
 import tempfile
 import zlib
@@ -69,11 +70,15 @@ def write_atomically(path: str, content: bytes) -> None:
 
 def delete_file(path: str, roots: set[str]) -> bool:
     """Whether a regular file right in one of the roots was deleted; links, and anything elsewhere, are left alone."""
-    parent = os.path.dirname(os.path.abspath(path))
-    if parent not in roots or os.path.islink(parent) or os.path.islink(path) or not os.path.isfile(path):
+    place, name = os.path.split(os.path.abspath(path))
+    try:
+        kinds = [os.lstat(p).st_mode for p in (place, os.path.join(place, name))]
+    except FileNotFoundError:
         return False
-    os.unlink(path)
-    return True
+    if place in roots and stat.S_ISDIR(kinds[0]) and stat.S_ISREG(kinds[1]):
+        os.unlink(path)
+        return True
+    return False
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:

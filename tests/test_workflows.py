@@ -194,3 +194,21 @@ def test_combine_goes_on_after_an_open_conflict(spark, classes):
     put(classes / "in" / "bad" / "a", "z.png", scene(8))
     combine(spark, classes, choices=choices, work=work, decodes=decodes)
     assert decodes.value == 2 * first + 1
+
+
+def test_outputs_are_squared_once(spark, tmp_path):
+    out = tmp_path / "out"
+    put(out, "square.png", scene(1))
+    put(out, "wide.png", scene(2, 40, 50))
+    put(tmp_path / "other", "tall.png", scene(3, 50, 40))
+    (out / "link.png").symlink_to(tmp_path / "other" / "tall.png")
+    (out / "broken.png").write_bytes(b"no picture")
+    before = {p.name: p.read_bytes() for p in out.iterdir()}
+    assert workflows.normalize_output(spark, str(out)) == 1
+    after = {p.name: p.read_bytes() for p in out.iterdir()}
+    assert (out / "link.png").is_symlink() and {n for n in before if before[n] != after[n]} == {"wide.png"} and before.keys() == after.keys()
+    (wide,) = [r for r in sinks.read_pictures(spark, str(out)).collect() if r["path"].endswith("wide.png")]
+    assert bytes(wide["data"]) == scene(2, 40, 50)[:, 5:45].tobytes()
+    assert workflows.normalize_output(spark, str(out)) == 0 and sorted(p.name for p in tmp_path.iterdir()) == ["other", "out"]
+    with pytest.raises(ValueError, match="not a folder"):
+        workflows.normalize_output(spark, str(out / "link.png"))
