@@ -8,7 +8,6 @@ import signal
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from sievework.sources import commit, sinks, tree
 
