@@ -501,3 +501,31 @@ def test_items_without_an_id_are_found(spark, kind):
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, None), (2, 1 if kind == "long" else "1")]
     if kind == "long":
         assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, items).collect()] == [3]
+
+
+def test_pairs_of_different_roots_equal_all_pairs(spark):
+    rng = random.Random(41)
+    rows = [(key, 100 * key + n, rng.choice([1, 1, 1, 1, 2, 3])) for key in range(5) for n in range(30)] + [(9, 1000 + n, 7) for n in range(20)]
+    fine = spark.createDataFrame([(key, node, node, root) for key, node, root in rows], "key long, node long, place long, root long")
+    got = [tuple(sorted((r["node"], r["node_2"]))) for r in components.pairs_apart(fine).collect()]
+    wanted = {tuple(sorted((n, m))) for k, n, r in rows for j, m, q in rows if k == j and r != q}
+    assert len(got) == len(wanted) and set(got) == wanted
+
+
+def test_a_hub_of_many_partners_travels_in_small_batches(spark):
+    """Pairs with a hub hold its whole text each; a batch of 10,000 of them would hold it as often."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    most = spark.sparkContext.accumulator(0)
+
+    def verify(pairs):
+        def run(batches):
+            for batch in batches:
+                most.add(int(batch.num_rows > components.ROWS_OF_TEXTS))
+                yield batch.select(["a", "b"])
+
+        return pairs.coalesce(1).select("a", "b").mapInArrow(run, "a long, b long")
+
+    early = spark.range(3000).selectExpr("1L AS key", "id AS node", "0L AS place")
+    found = components.link_groups(early, lambda roots: components.still_apart(early, roots), verify, None)
+    assert found.count() == 2999 and most.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
