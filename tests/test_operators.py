@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import duckdb
@@ -381,3 +382,45 @@ def test_flagship_is_the_whole_curation(monkeypatch):
     monkeypatch.setitem(catalog.QUERIES, "curation_pipeline", lambda spark, sf_dir: "whole")
     monkeypatch.setitem(catalog.QUERIES, "leader_clusters", lambda spark, sf_dir: "part")
     assert catalog.flagship(None, "") == "whole"
+
+
+def rotated_slowly(image, degrees, expand):
+    """augment.rotated() in double precision, all samples one by one."""
+    h, w = image.shape[:2]
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    nw, nh = (math.ceil(abs(w * c) + abs(h * s)), math.ceil(abs(w * s) + abs(h * c))) if expand else (w, h)
+    y, x = np.mgrid[0:nh, 0:nw] + 0.5
+    dx, dy = x - nw / 2, y - nh / 2
+    sx, sy = c * dx - s * dy + w / 2 - 0.5, s * dx + c * dy + h / 2 - 0.5
+    inside = (sx >= -0.5) & (sx < w - 0.5) & (sy >= -0.5) & (sy < h - 0.5)
+    ix, iy = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    out = np.zeros((nh, nw, image.shape[2]))
+    for j in range(-1, 3):
+        for i in range(-1, 3):
+            weight = augment.cubic(sx - ix - i) * augment.cubic(sy - iy - j)
+            out += weight[..., None] * image[np.clip(iy + j, 0, h - 1), np.clip(ix + i, 0, w - 1)]
+    return np.where(inside[..., None], np.clip(np.floor(out + 0.5), 0, 255), 0).astype(np.uint8)
+
+
+def test_rotation_and_filters_equal_the_plain_forms():
+    rng = np.random.default_rng(8)
+    for shape, degrees, expand, margin in (((31, 44, 4), 17.3, True, 0), ((160, 120, 3), -11.2, False, 20), ((5, 3, 3), 28, True, 0), ((40, 40, 1), 0, True, 0)):
+        image = rng.integers(0, 256, shape, np.uint8)
+        image[..., -1] = image[..., 0]
+        want = rotated_slowly(image, degrees, expand)
+        assert np.array_equal(augment.rotated(image, degrees, expand, margin), want[margin : want.shape[0] - margin, margin : want.shape[1] - margin])
+    image = rng.integers(0, 256, (23, 31), np.uint8)
+    for size, reduce in ((7, np.max), (7, np.min), (3, np.median)):
+        pad = size // 2
+        windows = np.lib.stride_tricks.sliding_window_view(np.pad(image, pad, mode="edge"), (size, size))
+        assert np.array_equal(augment.sliding(image, size, reduce), reduce(windows, axis=(-2, -1)).astype(np.uint8))
+
+
+def test_a_composite_costs_few_samples(monkeypatch):
+    """Of a backdrop with three equal or even channels, one is sampled, and only in the part that is shown."""
+    sampled, before = [], augment.bicubic
+    monkeypatch.setattr(augment, "bicubic", lambda channel, y, x: sampled.append(len(y)) or before(channel, y, x))
+    rng = np.random.default_rng(9)
+    pixels = [augment.colours(rng.integers(0, 256, 1024, np.uint8).tobytes()) for _ in range(2)]
+    augment.composite(*pixels, augment.generator("a/b.png"))
+    assert sum(sampled) <= augment.SIZE**2 + 2 * 46**2
