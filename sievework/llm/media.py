@@ -153,6 +153,12 @@ def payload_from_text(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b" " * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
+def audio_of(texts: list[str | None]) -> tuple[tuple[int, ...], list[str], list[bytes], list[np.ndarray]]:
+    """(bytes, codec, WAVE file and resampled PCM) of each text."""
+    sizes, files = zip(*((n, pack(p, CODECS[zlib.crc32(p) % len(CODECS)])) for n, p in map(payload_from_text, texts)), strict=True)
+    return sizes, [unpack(f)[0] for f in files], list(files), [resample(x).astype("<i2") for x in decode_many(list(files))]
+
+
 def store_text_as_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, codec, media (a WAVE file) and pcm (resampled, 16-bit little-endian) of each text.
 
@@ -161,45 +167,52 @@ def store_text_as_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
 
     def run(texts):
-        sizes, files = zip(*((n, pack(p, CODECS[zlib.crc32(p) % len(CODECS)])) for n, p in map(payload_from_text, texts)), strict=True)
-        return [
-            pa.array(sizes, pa.int64()),
-            pa.array([unpack(f)[0] for f in files], pa.string()),
-            pa.array(files, pa.binary()),
-            pa.array([resample(x).astype("<i2").tobytes() for x in decode_many(list(files))], pa.binary()),
-        ]
+        sizes, codecs, files, pcm = audio_of(texts)
+        return [pa.array(sizes, pa.int64()), pa.array(codecs, pa.string()), pa.array(files, pa.binary()), pa.array([x.tobytes() for x in pcm], pa.binary())]
 
     return common.map_text(docs, id_col, text_col, run, "n_bytes long, codec string, media binary, pcm binary")
 
 
+DESCRIBED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def described(n_bytes: int, codec: str, media: bytes, pcm: np.ndarray) -> tuple:
+    """The columns of DESCRIBED, from the stored bytes alone."""
+    payload = payload_of(*unpack(media))
+    return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(codec, pcm)
+
+
+def columns_of(rows: list[tuple]) -> list[pa.Array]:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+
+
 def describe_audio(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Digests and features of store_text_as_audio()'s rows, from the stored bytes alone."""
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                key, n_bytes, codec, media, pcm = (batch.column(c).slice(k, 1) for c in range(5))
-                file, samples = media[0].as_py(), np.frombuffer(pcm[0].as_py(), "<i2")
-                payload = payload_of(*unpack(file))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        key,
-                        n_bytes,
-                        pa.array([len(payload)], pa.int64()),
-                        pa.array([hashlib.sha256(payload).hexdigest()]),
-                        pa.array([zlib.crc32(payload[-16:])], pa.int64()),
-                        pa.array([len(file)], pa.int64()),
-                        pa.array([hashlib.sha256(file).hexdigest()]),
-                        pa.array([feature(codec[0].as_py(), samples)]),
-                    ],
-                    names=names,
-                )
+                n_bytes, codec, media, pcm = (batch.column(c)[k].as_py() for c in range(1, 5))
+                row = described(n_bytes, codec, media, np.frombuffer(pcm, "<i2"))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *columns_of([row])], names=names)
 
     kind = stored.schema[id_col].dataType.simpleString()
-    ddl = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    names = [x.strip().split(" ")[0].strip("`") for x in ddl.split(",")]
-    return stored.select(id_col, "n_bytes", "codec", "media", "pcm").mapInArrow(run, ddl)
+    names = [id_col, *(x.strip().split(" ")[0] for x in DESCRIBED.split(","))]
+    return stored.select(id_col, "n_bytes", "codec", "media", "pcm").mapInArrow(run, f"`{id_col}` {kind}, {DESCRIBED}")
+
+
+def described_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What describe_audio() tells of store_text_as_audio()'s rows, without dealing files and PCM, some ten times the text, to other workers.
+
+    Each slice of texts is stored, read back and described before the next, so that a worker holds one slice's audio.
+    """
+
+    def run(texts):
+        return columns_of([described(*one) for one in zip(*audio_of(texts), strict=True)])
+
+    return common.map_text(docs, id_col, text_col, run, DESCRIBED)
 
 
 def op5_telephony_audio(spark, sf_dir):
-    return describe_audio(store_text_as_audio(common.read(spark, sf_dir, "documents")))
+    return described_texts(common.read(spark, sf_dir, "documents"))

@@ -529,3 +529,28 @@ def test_a_hub_of_many_partners_travels_in_small_batches(spark):
     found = components.link_groups(early, lambda roots: components.still_apart(early, roots), verify, None)
     assert found.count() == 2999 and most.value == 0
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_audio_is_described_in_one_pass(spark):
+    """Media and PCM don't travel from one Python worker to the next."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["", None, "one two", "x" * 5000, "\u00e9 " * 700])], "doc_id long, text string")
+    one = media.described_texts(docs)
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, media.describe_audio(media.store_text_as_audio(docs)).collect()))
+    assert one.columns == media.describe_audio(media.store_text_as_audio(docs)).columns
+
+
+def test_pivot_tables_discard_and_lose_no_pair(spark):
+    rng = random.Random(12)
+    pairs = []
+    for k in range(600):
+        a = rng.getrandbits(64)
+        flips = sum(1 << b for b in rng.sample(range(64), rng.choice([2, 20, 26, 27, 32, 40])))
+        pairs.append((simhash.signed(a), simhash.signed(a ^ flips), flips.bit_count()))
+    table = spark.createDataFrame(pairs, "x long, y long, d int").withColumns({c: simhash.pivot_table(F.col(c[1])) for c in ("tx", "ty")})
+    found = table.select("d", "tx", "ty", simhash.least_apart(F.col("x"), F.col("y")).alias("least")).collect()
+    for r in found:
+        ones = [[(t[0] + 2 - d) // 2 for d in t[1:33]] for t in (r["tx"], r["ty"])]
+        assert r["least"] == sum(abs(a - b) for a, b in zip(*ones, strict=True)) <= r["d"]
+    far = [r["least"] > simhash.WIDE_RADIUS for r in found if r["d"] >= 32]
+    assert sum(far) > len(far) / 5
