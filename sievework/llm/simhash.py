@@ -9,8 +9,8 @@ the survivors are verified.
 
 similar_texts() is the wider form for texts of a given Jaccard similarity, whose fingerprints may differ in a third of
 their bits: keys that are cut from fingerprints select nothing there. Candidates are texts that agree in a MinHash band;
-the fingerprints, their pivot tables and a sketch that bounds the number of different shingles then discard pairs, and
-what survives is verified on the shingles.
+a sketch that bounds the number of different shingles, the differences of the pivot tables' mask columns, added up, and
+the exact distance of fingerprints then discard pairs, and what survives is verified on the shingles.
 """
 
 from __future__ import annotations
@@ -180,14 +180,26 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def under_masks(fp: Column) -> Column:
+    """The mask columns of the pivot table less the zero pivot's, that is, the ones under each mask, packed in unary: 00, 01 or 11."""
+    low, shifted = F.lit(0x5555555555555555), F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseOR(shifted).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(shifted).bitwiseAND(low), 1))
+
+
+def least_apart(a: Column, b: Column) -> Column:
+    """Bits in which fingerprints differ at least, by the mask columns: as masks don't overlap, their differences add up."""
+    return F.bit_count(under_masks(a).bitwiseXOR(under_masks(b)))
+
+
 def alike(pairs: DataFrame, bodies: DataFrame, least: float, radius: int) -> DataFrame:
     """The pairs (a, b) of ids, with fingerprint, number of shingles and sketch as a_place and b_place, whose texts are similar enough."""
-    apart = F.array_max(F.zip_with(pivot_table(F.col("a_place.fp")), pivot_table(F.col("b_place.fp")), lambda x, y: F.abs(x - y)))
     differ = sum((F.bit_count(F.col(f"a_place.b{k}").bitwiseXOR(F.col(f"b_place.b{k}"))) for k in range(SKETCH)), F.lit(0))
     both = F.col("a_place.n") + F.col("b_place.n")
     # of sets that differ in d of n shingles, counted on both sides, the similarity is (n - d) / (n + d)
     near = pairs.where(differ <= both * F.lit((1 - least) / (1 + least)) + F.lit(1e-6))
-    near = near.where(F.bit_count(F.col("a_place.fp").bitwiseXOR(F.col("b_place.fp"))) <= radius).dropDuplicates(["a", "b"]).where(apart <= radius)
+    # the pivot table's columns discard before the exact distance does; what they leave is verified by it
+    one, other = F.col("a_place.fp"), F.col("b_place.fp")
+    near = near.where(least_apart(one, other) <= radius).where(F.bit_count(one.bitwiseXOR(other)) <= radius).dropDuplicates(["a", "b"])
 
     def run(batches):
         for batch in batches:
