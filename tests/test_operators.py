@@ -424,3 +424,19 @@ def test_a_composite_costs_few_samples(monkeypatch):
     pixels = [augment.colours(rng.integers(0, 256, 1024, np.uint8).tobytes()) for _ in range(2)]
     augment.composite(*pixels, augment.generator("a/b.png"))
     assert sum(sampled) <= augment.SIZE**2 + 2 * 46**2
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_hashes_compared_in_blocks_equal_all_pairs(spark, alone, monkeypatch):
+    """At 18 bits no join on keys is made, so that rows don't multiply; blocks are small here."""
+    monkeypatch.setattr(visual, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(visual, "PAIRS_OUT", 50)
+    rng = random.Random(44)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    near = lambda: rng.choice(base) ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 24)))
+    left, right = [(k, near()) for k in range(500)], [(k, near()) for k in range(230)]
+    frame = lambda side: spark.createDataFrame([*side, (9999, None)], "id long, h long")
+    found = visual.hamming_join(frame(left), None if alone else frame(right), 18)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = [(x, y) for x, h in left for y, g in (left if alone else right) if (not alone or x < y) and (h ^ g).bit_count() <= 18]
+    assert want and rows(found) == sorted(want)
