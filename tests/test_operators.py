@@ -440,3 +440,18 @@ def test_hashes_compared_in_blocks_equal_all_pairs(spark, alone, monkeypatch):
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
     want = [(x, y) for x, h in left for y, g in (left if alone else right) if (not alone or x < y) and (h ^ g).bit_count() <= 18]
     assert want and rows(found) == sorted(want)
+
+
+def test_verified_pairs_fold_each_text_once(spark, tmp_path, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("binary")
+    def counted(values: pd.Series) -> pd.Series:
+        made.add(len(values))
+        return values
+
+    pixels = [(k, bytes((k // 2 * 7 + i) % 256 for i in range(1024))) for k in range(40)]
+    plain = spark.createDataFrame(pixels, "doc_id long, pixels binary")
+    monkeypatch.setattr(duplicates, "rasters", lambda *_: plain.select("doc_id", counted.asNondeterministic()("pixels").alias("pixels")))
+    assert all(a % 2 == b % 2 == 0 for a, b in rows(duplicates.verified_pairs(spark, None)))
+    assert made.value == 40
