@@ -304,3 +304,38 @@ def test_stages_take_any_column_name(spark, folder, stage):
     assert found.columns == docs.columns and {r["a.b"] for r in found.select("`a.b`").collect()} == {"kept"}
     key = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=repr)
     assert key(found) == key(plain)
+
+
+def test_op6_counts_all_verbatim_links_and_spans(spark):
+    """Pairs that other links hold together already count all the same, and have their spans."""
+    word = lambda name, n: [f"{name}{k}" for k in range(n)]
+    p, q, r = word("p", 60), word("q", 60), word("r", 60)
+    rows = [p + q, word("a", 9) + q + word("b", 9) + r, word("c", 7) + r + word("d", 5) + p, p + word("e", 30) + r + word("f", 9) + q, word("z", 80)]
+    rows += [word("i", 3) + word("s", 50) * 2, word("j", 70) + word("s", 50)]
+    docs = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in passages.passage_classes(docs).collect()}
+    assert [(got[k]["component_id"], got[k]["n_links"]) for k in range(7)] == [(0, 3), (0, 3), (0, 3), (0, 3), (4, 0), (5, 1), (5, 1)]
+    covered = {k: {i for s, e in r["spans"] for i in range(s, e)} for k, r in got.items()}
+    assert covered[2] >= {*range(7, 67), *range(72, 132)} and covered[3] >= {*range(60), *range(90, 150), *range(159, 219)} and covered[6] >= set(range(70, 120))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_partners_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    held = {(f"run{k}", node) for k in range(12) for node in rng.sample(range(30), rng.choice([2, 3, 8, 20]))}
+    held |= {(f"in{k}", node) for k in range(4) for node in sorted(n for r, n in held if r == "run0")[:2]}
+    sets = {r: frozenset(n for x, n in held if x == r) for r, _ in held}
+    runs = spark.createDataFrame([(n, hash(sets[r]) >> 1, len(sets[r])) for r, n in held], "node long, clique long, n long")
+    got = {r["node"]: r["partners"] for r in passages.partners(passages.cliques_of(runs)).collect()}
+    assert got == {n: len(set().union(*[x for x in sets.values() if n in x])) - 1 for _, n in held}
+
+
+def test_repeated_places_are_those_after_the_first():
+    row = np.array([7] * 12 + [1, 2, 3] + [7] * 4, np.uint64)
+    seen, wanted = set(), []
+    padded = [0, 0, *row.tolist(), 0, 0]
+    for k in range(len(row)):
+        key = tuple(padded[k : k + 5])
+        wanted += [k] * (key in seen)
+        seen.add(key)
+    assert passages.repeated_places(row, 2).tolist() == wanted and len(wanted) == 7
