@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.operators import augment
-from sievework.plans.assets import images
-from sievework.plans.duplicates import RASTER_SQL, rasters
+from sievework.plans.assets import images, read
+from sievework.plans.duplicates import RASTER_SQL, folded, rasters
 from sievework.sources.manifest import IMAGES_SQL
 
 
 def saturation_flood_mask(spark, sf_dir):
     """Size and bounding box of each raster's subject: what the exterior, grown from the border, doesn't reach."""
-    return augment.mask_summary(rasters(spark, sf_dir))
+    return augment.mask_summary(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pixels")), folded)
 
 
 def seeded_params(spark, sf_dir):

@@ -455,3 +455,15 @@ def test_verified_pairs_fold_each_text_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(duplicates, "rasters", lambda *_: plain.select("doc_id", counted.asNondeterministic()("pixels").alias("pixels")))
     assert all(a % 2 == b % 2 == 0 for a, b in rows(duplicates.verified_pairs(spark, None)))
     assert made.value == 40
+
+
+def test_masks_take_one_pass_of_python(spark, tmp_path):
+    """Folding and masking in one worker, not in two that each hold a batch of the other's rows."""
+    from sievework.plans import augmenting, duplicates
+
+    texts = ["", "a plain text", "\u00e9\u4e2d" * 900, None, "z" * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    one = augmenting.saturation_flood_mask(spark, str(tmp_path))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "MapInPandas" not in plan
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, augment.mask_summary(duplicates.rasters(spark, str(tmp_path))).collect()))
