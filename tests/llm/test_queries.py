@@ -330,6 +330,17 @@ def test_partners_equal_brute_force(spark, seed):
     assert got == {n: len(set().union(*[x for x in sets.values() if n in x])) - 1 for _, n in held}
 
 
+def test_partners_of_large_families_make_no_pairs(spark, monkeypatch):
+    """Counts equal brute force over many blocks, and nothing is compared clique list by clique list."""
+    monkeypatch.setattr(passages.F, "array_intersect", None)
+    rng = random.Random(5)
+    sets = {k: frozenset(rng.sample(range(1400), rng.choice([2, 40, 700]))) for k in range(24)}
+    runs = spark.createDataFrame([(n, k, len(s)) for k, s in sets.items() for n in s], "node long, clique long, n long")
+    got = {r["node"]: r["partners"] for r in passages.partners(passages.cliques_of(runs)).collect()}
+    held = set().union(*sets.values())
+    assert got == {n: len(set().union(*[s for s in sets.values() if n in s])) - 1 for n in held} and len(got) > 1024
+
+
 def test_repeated_places_are_those_after_the_first():
     row = np.array([7] * 12 + [1, 2, 3] + [7] * 4, np.uint64)
     seen, wanted = set(), []
