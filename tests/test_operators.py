@@ -467,3 +467,13 @@ def test_masks_take_one_pass_of_python(spark, tmp_path):
     plan = one._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "MapInPandas" not in plan
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, augment.mask_summary(duplicates.rasters(spark, str(tmp_path))).collect()))
+
+
+def test_edges_within_classes_are_those_of_brute_force(spark):
+    """No edge joins two classes, so that none has to be dealt out to learn its ends' classes."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(63) for _ in range(12)]
+    rows = [(k, rng.choice(base) ^ (1 << rng.randrange(63)), rng.choice("PN")) for k in range(150)]
+    found = duplicates.edges_within(spark.createDataFrame(rows, "id long, h long, side string"), 3)
+    wanted = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and (a[1] ^ b[1]).bit_count() <= 3]
+    assert sorted(tuple(r) for r in found.collect()) == wanted and len(wanted) > 100
