@@ -341,6 +341,31 @@ def test_partners_of_large_families_make_no_pairs(spark, monkeypatch):
     assert got == {n: len(set().union(*[s for s in sets.values() if n in s])) - 1 for n in held} and len(got) > 1024
 
 
+def test_partners_meet_no_more_for_more_tasks(spark, monkeypatch):
+    """The bits that kinds of texts meet hang neither on the tasks that sort them nor on the square of a family."""
+    made = []
+    kept = passages.common.checkpointed
+    monkeypatch.setattr(passages.common, "checkpointed", lambda df: made.append(kept(df)) or made[-1])
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda self, *by, f=type(spark.range(0)).repartitionByRange: f(self, 40, *by))
+    family = range(700)
+    sets = {k: frozenset(n for n in family if n % 20 != k) if k else frozenset(family) for k in range(20)}
+    runs = spark.createDataFrame([(n, k, len(s)) for k, s in sets.items() for n in s], "node long, clique long, n long")
+    cliques = passages.cliques_of(runs)
+    del made[:]
+    got = {r["node"]: r["partners"] for r in passages.partners(cliques).collect()}
+    assert got == dict.fromkeys(family, 699)
+    assert [df.count() for df in made if "block" in df.columns] and all(df.count() <= 2 * len(sets) for df in made if "block" in df.columns)
+
+
+def test_window_bounds_are_found_for_all_at_once(monkeypatch):
+    """A row of falling, rising or equal values takes few steps."""
+    for values in (np.arange(1 << 12), np.arange(1 << 12)[::-1], np.ones(1 << 12)):
+        found = passages.window_bounds(values.astype(np.uint64), passages.LENGTH)
+        assert found.shape[1] == 3 and [tuple(x) for x in found.tolist()] == passages.compact_windows(values.astype(np.uint64), passages.LENGTH)
+    assert passages.nearest_before(np.array([2, 2, 1, 3, 1], np.uint64), False).tolist() == [-1, 0, -1, 2, 2]
+    assert passages.nearest_before(np.array([2, 2, 1, 3, 1], np.uint64), True).tolist() == [-1, -1, -1, 2, -1]
+
+
 def test_repeated_places_are_those_after_the_first():
     row = np.array([7] * 12 + [1, 2, 3] + [7] * 4, np.uint64)
     seen, wanted = set(), []
