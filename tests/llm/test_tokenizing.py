@@ -200,3 +200,16 @@ def test_op12_null_and_repeated_ids(spark):
 @pytest.mark.parametrize("name", ["op11_alignment", "op13_bpe"])
 def test_empty_tables(spark, folder, name):
     assert registry.QUERIES[name](spark, f"{folder}/empty").collect() == []
+
+
+def test_op11_known_segments_are_cut_once_and_change_no_result(spark, monkeypatch):
+    """Segments that a sample shows to be frequent aren't sent slice by slice; rare, awkward and differing ones still are."""
+    monkeypatch.setattr(alignment, "SAMPLE", 1)
+    some = [*AWKWARD[:6], *random_texts(8, 40), *["the end of the words, ever the same ones\n"] * 4, "the ▁ end of the words"]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(3)
+    known = alignment.known_segments(docs, A, B, "text")
+    held = [x["segment"] for x in known.first()["known"]]
+    assert " the" in held and " words," in held and held == sorted(held)
+    slices = alignment.tokenised(docs.where("doc_id >= 46 AND doc_id < 50"), held, A, B, "doc_id", "text").collect()
+    assert slices and not any(r["words"] for r in slices) and all(d["segments"] and d["known"] for r in slices for d in r["docs"])
+    assert sorted(map(tuple, alignment.align(docs).collect())) == aligned_by_hand(some)
