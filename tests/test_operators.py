@@ -426,6 +426,61 @@ def test_a_composite_costs_few_samples(monkeypatch):
     assert sum(sampled) <= augment.SIZE**2 + 2 * 46**2
 
 
+def test_scenes_resample_only_what_is_shown(monkeypatch):
+    """Pixels are those of the whole picture resampled, turned and lit; that is done only where corners or ties ask for it."""
+    rng = np.random.default_rng(10)
+    plain, asked = augment.resized, []
+    monkeypatch.setattr(augment, "resized", lambda *args: asked.append(args) or plain(*args))
+    pictures = [augment.colours(rng.integers(0, 256, 1024, np.uint8).tobytes()), rng.integers(0, 256, (37, 52, 3), np.uint8), np.full((20, 20, 3), 9, np.uint8), rng.integers(0, 256, (700, 640, 3), np.uint8)]
+    for picture in pictures:
+        for degrees, light in ((-12.0, 0.9), (3.3, 1.1), (0.0, 1.0)):
+            side = min(picture.shape[:2])
+            area = (0.3 * (picture.shape[1] - side), 0.6 * (picture.shape[0] - side), 0.3 * (picture.shape[1] - side) + side, 0.6 * (picture.shape[0] - side) + side)
+            got = augment.shown(picture, 480, area, degrees, 80, light)
+            want = rotated_slowly(plain(picture, 480, 480, area), degrees, False)[80:400, 80:400] if side < 50 else augment.rotated(plain(picture, 480, 480, area), degrees, False, 80)
+            assert np.array_equal(got, np.clip(np.arange(256) * light, 0, 255).astype(np.uint8)[want])
+    assert not asked
+    halves, area = np.tile(np.array([[0, 1], [1, 0]], np.uint8), (8, 8))[:, :, None], (0.5, 0, 16.5, 16)  # means of two lie midway
+    assert np.array_equal(augment.shown(halves, 16, area, 5.0, 5, 1.0), augment.rotated(plain(halves, 16, 16, area), 5.0, False, 5)) and len(asked) == 1
+    assert np.array_equal(augment.shown(halves, 16, area, 30.0, 0, 1.0), augment.rotated(plain(halves, 16, 16, area), 30.0, False)) and len(asked) == 2
+
+
+def test_augmented_rows_equal_single_pictures(spark, monkeypatch):
+    """Subjects are cut out and turned several at once; a row without one, or with a wrong raster, leaves the others as they are."""
+    rng = np.random.default_rng(12)
+    rasters = [rng.integers(0, 256, 1024, np.uint8).tobytes() if k % 7 else bytes(1024) for k in range(40)]
+    rasters[5] = b"too short"
+    data = [(k, f"g/{k}.png", rasters[k], rasters[k - 1] if k % 5 else None) for k in range(40)]
+    frame = spark.createDataFrame(data, "doc_id long, relpath string, pixels binary, background binary")
+    want = []
+    for k, path, pixels, background in data:
+        try:
+            rgb, draws = augment.colours(pixels), augment.generator(path)
+            picture = augment.transform(rgb, draws) if background is None else augment.composite(rgb, augment.colours(background), draws)
+            want.append((k, "done", hashlib.sha256(picture.tobytes()).hexdigest()))
+        except ValueError:
+            want.append((k, "no_subject", None))
+    assert sorted(map(tuple, augment.augmented(frame).collect())) == want and sum(w[2] is None for w in want) == 8
+    stack = [rng.integers(0, 256, (23, 31, 3), np.uint8) // 4 * np.uint8(k % 3) + np.uint8(60) for k in range(9)]
+    masks = augment.subject_masks(np.stack(stack, axis=2))
+    for k, one in enumerate(stack):
+        open_ = augment.saturation(one) <= augment.BACKDROP
+        reached = np.zeros((25, 33), bool)
+        around = np.pad(open_, 1, constant_values=True)  # beyond the border all is open
+        reached[0, 0] = True
+        while True:
+            more = reached.copy()
+            more[1:] |= reached[:-1]
+            more[:-1] |= reached[1:]
+            more[:, 1:] |= reached[:, :-1]
+            more[:, :-1] |= reached[:, 1:]
+            if np.array_equal(more & around, reached):
+                break
+            reached = more & around
+        assert np.array_equal(augment.exterior(open_), reached[1:-1, 1:-1])
+        assert np.array_equal(masks[:, :, k], augment.subject_masks(one[:, :, None])[:, :, 0])
+
+
 @pytest.mark.parametrize("alone", [True, False])
 def test_hashes_compared_in_blocks_equal_all_pairs(spark, alone, monkeypatch):
     """At 18 bits no join on keys is made, so that rows don't multiply; blocks are small here."""
