@@ -375,3 +375,19 @@ def test_repeated_places_are_those_after_the_first():
         wanted += [k] * (key in seen)
         seen.add(key)
     assert passages.repeated_places(row, 2).tolist() == wanted and len(wanted) == 7
+
+
+def test_op6_makes_runs_once(spark):
+    """Groups and join read the same dealt-out rows; a text's repeated run is marked as such, and found wherever the text holds it."""
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(4000)]
+    passage = " ".join(rng.sample(words, 60))
+    texts = {1: passage + " " + " ".join(rng.sample(words, 30)), 2: " ".join(rng.sample(words, 90)), 3: " ".join(rng.sample(words, 20)) + f" {passage} x {passage}"}
+    windows = passages.shared_windows(spark.createDataFrame(list(texts.items()), "id long, body string"), passages.HASHES, passages.LENGTH)
+    own = windows.groupBy("id").agg(F.collect_list(F.struct("value", "place")).alias("windows"))
+    bodies = spark.createDataFrame(list(texts.items()), "id long, body string").join(own, "id").localCheckpoint()
+    runs = passages.shared_runs(bodies, passages.LENGTH)
+    got = sorted((r["node"], r["at"], r["first"], r["n"], r["low"]) for r in runs.collect())
+    assert got == [(1, k, True, 2, 1) for k in range(11)] + [(3, 20 + k, True, 2, 1) for k in range(11)] + [(3, 81 + k, False, 2, 1) for k in range(11)]
+    plan = runs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan
