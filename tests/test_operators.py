@@ -427,7 +427,7 @@ def test_a_composite_costs_few_samples(monkeypatch):
 
 
 def test_scenes_resample_only_what_is_shown(monkeypatch):
-    """Pixels are those of the whole picture resampled, turned and lit; that is done only where corners or ties ask for it."""
+    """Pixels are those of the whole picture resampled, turned and lit; that is done only where shrinking, corners or ties ask for it."""
     rng = np.random.default_rng(10)
     plain, asked = augment.resized, []
     monkeypatch.setattr(augment, "resized", lambda *args: asked.append(args) or plain(*args))
@@ -439,10 +439,10 @@ def test_scenes_resample_only_what_is_shown(monkeypatch):
             got = augment.shown(picture, 480, area, degrees, 80, light)
             want = rotated_slowly(plain(picture, 480, 480, area), degrees, False)[80:400, 80:400] if side < 50 else augment.rotated(plain(picture, 480, 480, area), degrees, False, 80)
             assert np.array_equal(got, np.clip(np.arange(256) * light, 0, 255).astype(np.uint8)[want])
-    assert not asked
+    assert [args[0].shape for args in asked] == [(700, 640, 3)] * 3
     halves, area = np.tile(np.array([[0, 1], [1, 0]], np.uint8), (8, 8))[:, :, None], (0.5, 0, 16.5, 16)  # means of two lie midway
-    assert np.array_equal(augment.shown(halves, 16, area, 5.0, 5, 1.0), augment.rotated(plain(halves, 16, 16, area), 5.0, False, 5)) and len(asked) == 1
-    assert np.array_equal(augment.shown(halves, 16, area, 30.0, 0, 1.0), augment.rotated(plain(halves, 16, 16, area), 30.0, False)) and len(asked) == 2
+    assert np.array_equal(augment.shown(halves, 16, area, 5.0, 5, 1.0), augment.rotated(plain(halves, 16, 16, area), 5.0, False, 5)) and len(asked) == 4
+    assert np.array_equal(augment.shown(halves, 16, area, 30.0, 0, 1.0), augment.rotated(plain(halves, 16, 16, area), 30.0, False)) and len(asked) == 5
 
 
 def test_augmented_rows_equal_single_pictures(spark, monkeypatch):
